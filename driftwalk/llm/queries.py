@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwalk.llm import binary_output, decontamination, language_id, near_duplicates, token_counts, topk_search, url_filter
+from driftwalk.llm import binary_output, decontamination, language_id, license_scan, near_duplicates, pii, sentencepieces, token_counts, topk_search, url_filter
 from driftwalk.llm.common import staging
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,16 @@ def _register(f):
     return f
 
 
+@_register
+def op1_personal_data(spark, sf_dir):
+    return pii.report(pii.find_personal_data(_read(spark, sf_dir, "documents"), ["doc_id"]))
+
+
+@_register
+def op2_sentencepieces(spark, sf_dir):
+    return sentencepieces.sample_segmentations(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), with_ids=False).drop("ids")
+
+
 @_register
 def op3_url_filter(spark, sf_dir):
     return url_filter.judge(_read(spark, sf_dir, "pages"))
@@ -49,6 +59,11 @@ def op6_topk_search(spark, sf_dir):
     return topk_search.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@_register
+def op7_license_scan(spark, sf_dir):
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 @_register
 def op8_language_id(spark, sf_dir):
     return language_id.identify(_read(spark, sf_dir, "documents"))
@@ -95,3 +110,12 @@ pos AS (SELECT doc_id, count(DISTINCT i + k) n_hit FROM (SELECT doc_id, i, unnes
 it AS (SELECT doc_id, count(*) n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
 SELECT dw.doc_id, coalesce(len(ws), 0)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 FROM dw LEFT JOIN pos ON pos.doc_id = dw.doc_id LEFT JOIN it ON it.doc_id = dw.doc_id"""
+
+SQL["op7_license_scan"] = license_scan.scan_sql()
+
+
+@_register
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
