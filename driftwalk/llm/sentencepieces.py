@@ -38,7 +38,7 @@ from driftwalk.llm.common import slices, two_columns
 BLANK = "▁"
 _CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 #: Characters of text whose lattice a worker holds at once.
-RUN_CHARS = 2_500_000
+RUN_CHARS = 4_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # mixing factors
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -145,28 +145,31 @@ class Lattice:
         ends = np.cumsum(size)
         self.base, n = ends - size, len(codes)
         left = np.repeat(ends, size) - np.arange(n)  # characters from here to the chunk's end
-        starts, lengths, pieces = [], [], []
+        found, counts = [], np.zeros(n + 1, np.int64)
         at, key = np.arange(n), np.zeros(n, np.uint64)
         for length in range(1, model.longest + 1):
-            fits = left[at] >= length
-            at, key = at[fits], key[fits]
+            if length > 1:
+                fits = left[at] >= length
+                at, key = at[fits], key[fits]
             if not len(at):
                 break
             key = model._extend(key, codes[at + length - 1].astype(np.uint64))
             piece = model.lookup(key)
             if length == 1:
-                lone = piece < 0
-                piece_1 = np.where(lone, model.size + codes[at], piece)
-                starts.append(at), lengths.append(np.ones(len(at), np.int64)), pieces.append(piece_1)
+                found.append((at, np.where(piece < 0, model.size + codes[at], piece)))
             else:
                 hit = piece >= 0
-                starts.append(at[hit]), lengths.append(np.full(int(hit.sum()), length)), pieces.append(piece[hit])
+                found.append((at[hit], piece[hit]))
+            counts[found[-1][0]] += 1  # a place has one edge of a length at most
             alive = piece > -2
             at, key = at[alive], key[alive]
-        start, length, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, lengths, pieces))
-        by = np.lexsort((length, start)) if len(start) else np.zeros(0, np.int64)
-        start, self.length, self.piece = start[by], length[by], piece[by]
-        self.first = np.searchsorted(start, np.arange(n + 1))
+        self.first = np.cumsum(counts) - counts
+        edges, used = int(counts.sum()), self.first.copy()
+        self.length, self.piece = np.zeros(edges, np.int64), np.zeros(edges, np.int64)
+        for length, (where, piece) in enumerate(found, 1):
+            self.length[used[where]], self.piece[used[where]] = length, piece
+            used[where] += 1
+        start = np.repeat(np.arange(n + 1), counts)
         own = self.piece < model.size
         weight = np.where(own, model.weights[np.where(own, self.piece, 0)], 0.0)
         if not own.all():
@@ -174,19 +177,17 @@ class Lattice:
             weight[~own] = model.byte_weight * (1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
         # Sums over all completions, from the chunks' ends; places of equal distance at once.
         total = np.zeros(n + 1)
-        order = np.argsort(left[start], kind="stable") if len(start) else by
-        distance = left[start][order]
-        cuts = np.searchsorted(distance, np.arange(1, int(size.max(initial=0)) + 2))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            e = order[a:b]
-            if not len(e):
-                continue
-            after = np.where(self.length[e] < left[start[e]], total[np.minimum(start[e] + self.length[e], n)], 0.0)
-            value = weight[e] + after
-            head = np.flatnonzero(np.concatenate([[True], start[e][1:] != start[e][:-1]]))
+        falling = ends[np.argsort(-size, kind="stable")]
+        reach = len(size) - np.searchsorted(np.sort(size), np.arange(int(size.max(initial=0)) + 1))
+        for distance in range(1, int(size.max(initial=0)) + 1):
+            nodes = falling[: reach[distance]] - distance
+            many = counts[nodes]
+            head = np.cumsum(many) - many
+            e = np.repeat(self.first[nodes] - head, many) + np.arange(int(many.sum()))
+            to = np.repeat(nodes, many) + self.length[e]
+            value = weight[e] + np.where(self.length[e] < distance, total[to], 0.0)
             top = np.maximum.reduceat(value, head)
-            spread = np.diff(np.append(head, len(e)))
-            total[start[e][head]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, spread)), head))
+            total[nodes] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, many)), head))
         after = np.where(self.length < left[start], total[np.minimum(start + self.length, n)], 0.0)
         self.log_p = weight + after - total[start]
         p = np.exp(self.log_p)
@@ -249,10 +250,8 @@ class Sampler:
             after = at + self.lattice.length[edge]
             at = after[after < self.end[at]]
 
-    def _keys_of_rest(self, edges: np.ndarray, fresh: np.ndarray, bound: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    def _keys_of_rest(self, edges: np.ndarray, run: np.ndarray, fresh: np.ndarray, bound: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
         """(log-probability before each edge, key of what else leaves its start) for the positions `fresh`."""
-        log_p = np.where(edges >= 0, self.lattice.log_p[np.maximum(edges, 0)], 0.0)
-        run = np.append(0, np.cumsum(log_p))
         before = run[fresh] - run[self.doc_start[self.doc[fresh]]]
         p = np.exp(self.lattice.log_p[edges[fresh]])
         with np.errstate(divide="ignore"):
@@ -303,9 +302,11 @@ class Sampler:
                 del old
             else:
                 fresh = np.flatnonzero(edges >= 0)
-            before, keys = self._keys_of_rest(edges, fresh, bound, number)
-            log_p = np.where(edges >= 0, lattice.log_p[np.maximum(edges, 0)], 0.0)
-            run = np.append(0, np.cumsum(log_p))
+            at = np.flatnonzero(edges >= 0)
+            run = np.zeros(len(edges) + 1)
+            run[at + 1] = lattice.log_p[edges[at]]
+            run = np.cumsum(run)
+            before, keys = self._keys_of_rest(edges, run, fresh, bound, number)
             rounds.append((edges, bound.copy(), run[self.doc_end] - run[self.doc_start], alive.copy()))
             cuts = np.searchsorted(fresh, np.append(self.doc_start, len(self.row)))
             open_.append({"at": fresh, "keys": keys, "before": before, "edges": edges, "cuts": cuts, "taken": {}})
