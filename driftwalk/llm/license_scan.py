@@ -9,8 +9,8 @@ match has many windows. Retrieved pairs are verified exactly: the largest
 share of a template's 5-word shingles in any stretch of the text as long as
 the template, 0.75 or more.
 
-Anchors are the longest words of the templates' shingles: each shingle has
-one, so text without anchors can't hold a match, and no window is lost.
+Anchors are the longest words of so many of a template's shingles that every
+match holds one: text without anchors can't hold a match.
 
 Null, empty and short texts give no rows; repeated rows give theirs each, told
 apart by nothing but the row. Templates are a parameter of bounded size
@@ -50,11 +50,19 @@ def template_words(text: str) -> list[str]:
 
 
 def anchors_of(templates) -> list[str]:
+    """Words of which every match holds one.
+
+    Each shingle has its longest word as an anchor. A match holds at least
+    PERCENT of a template's shingles, so fewer than that may go without: those
+    whose anchors are shortest, as short words are common.
+    """
     found = set()
     for _, text in templates:
         words = template_words(text)
-        for at in range(len(words) - SHINGLE + 1):
-            found.add(max(words[at : at + SHINGLE], key=len))
+        own = {tuple(words[at : at + SHINGLE]): max(words[at : at + SHINGLE], key=len) for at in range(len(words) - SHINGLE + 1)}
+        needed = -(-PERCENT * len(own) // 100)
+        longest = sorted(own.values(), key=lambda w: (-len(w), w))
+        found.update(longest[: len(own) - needed + 1])
     return sorted(found)
 
 
@@ -77,9 +85,9 @@ def _bands(shingles: Column) -> Column:
     return F.transform(F.array(shingles), lambda sh: F.array(*(band(sh, b) for b in range(BANDS))))[0]
 
 
-def _window_bands(df: DataFrame, scale: int) -> DataFrame:
-    """df(words, start, ...) with band keys of the window of `scale` words at start."""
-    return df.withColumn("key", F.explode(F.array_distinct(_bands(_shingles(F.slice("words", F.col("start") + 1, scale))))))
+def _window_bands(df: DataFrame) -> DataFrame:
+    """df(words, start, scale, ...) with band keys of the window of `scale` words at start."""
+    return df.withColumn("key", F.explode(F.array_distinct(_bands(_shingles(F.slice("words", F.col("start") + 1, F.col("scale")))))))
 
 
 def words_of(text: Column) -> Column:
@@ -104,10 +112,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
         rows += [(name, words, scale, at) for at in range(len(words) - scale + 1)]
     windows = spark.createDataFrame(rows, schema)
     scales = sorted({r[2] for r in rows})
-    indexed = None
-    for scale in scales:
-        part = _window_bands(windows.where(F.col("scale") == scale), scale).select("license", "scale", "key").distinct()
-        indexed = part if indexed is None else indexed.unionByName(part)
+    indexed = _window_bands(windows).select("license", "scale", "key").distinct()
     full = spark.createDataFrame([(name, template_words(text)) for name, text in usable], "license string, t_words array<string>").select("license", F.size("t_words").alias("t_size"), F.array_distinct(_shingles(F.col("t_words"))).alias("t_shingles"))
 
     hint = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, anchors)) + r")(?![\p{L}\p{N}])"
@@ -115,15 +120,17 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
     worded = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("body")).where(F.rlike("body", F.lit(hint))).select("doc_id", words_of(F.col("body")).alias("words")).where(F.size("words") >= SHINGLE)
     worded = worded.withColumn("row", F.monotonically_increasing_id())
     near = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(anchors), i)))
-    found = None
-    for scale in scales:
-        # Windows around the anchors: each start from which the window holds one.
-        stride = max(1, scale // 8)
-        begins = F.array_distinct(F.flatten(F.transform(near, lambda i: F.sequence(F.greatest(i - scale + 1, F.lit(0)), i))))
-        begins = F.filter(begins, lambda s: (s % stride == 0) & (s + scale <= F.size("words")))
-        cut = worded.select("row", "words", F.explode(begins).alias("start"))
-        hits = _window_bands(cut, scale).select("row", "key").join(F.broadcast(indexed.where(F.col("scale") == scale).select("key", "license")), "key").select("row", "license")
-        found = hits if found is None else found.unionByName(hits)
+
+    def begins(scale: int) -> Column:
+        """Windows around the anchors: each start, on the stride, from which a window holds one."""
+        starts = F.array_distinct(F.flatten(F.transform(near, lambda i: F.sequence(F.greatest(i - scale + 1, F.lit(0)), i))))
+        on_stride = F.filter(starts, lambda at: (at % max(1, scale // 8) == 0) & (at + scale <= F.size("words")))
+        return F.transform(on_stride, lambda at: F.struct(at.alias("start"), F.lit(scale).alias("scale")))
+
+    cut = worded.withColumn("near", near).where(F.size("near") > 0)
+    near = F.col("near")
+    cut = cut.select("row", "words", F.explode(F.concat(*(begins(s) for s in scales))).alias("at")).select("row", "words", "at.start", "at.scale")
+    found = _window_bands(cut).select("row", "scale", "key").join(F.broadcast(indexed), ["scale", "key"]).select("row", "license")
     pairs = worded.join(found.distinct(), "row").join(F.broadcast(full), "license")
     return _verified(pairs)
 
