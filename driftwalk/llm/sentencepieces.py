@@ -107,26 +107,30 @@ class Model:
         self.longest = longest
         self.keys = np.array(sorted(found), np.uint64)
         self.ids = np.array([found[int(k)] for k in self.keys], np.int64)
-        bits = 22
+        bits = 20
         self.shift = np.uint64(64 - bits)
-        self.slots = np.searchsorted(self.keys, np.arange((1 << bits) + 1, dtype=np.uint64) << self.shift if bits < 64 else 0)
+        self.slots = np.searchsorted(self.keys, np.arange((1 << bits) + 1, dtype=np.uint64) << self.shift).astype(np.int32)
         self.slots[-1] = len(self.keys)
-        self.deepest = int(np.diff(self.slots).max())
 
     @staticmethod
     def _extend(key: np.ndarray, code: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return _hash(key * _STEP + code + np.uint64(1))
+            key = (key + code + np.uint64(1)) * _MIX[0]
+            return (key ^ (key >> np.uint64(32))) * _STEP
 
     def lookup(self, key: np.ndarray) -> np.ndarray:
         """Piece id of a prefix hash; -1: a prefix but no piece; -2: nothing starts so."""
         slot = (key >> self.shift).astype(np.int64)
         at, end = self.slots[slot], self.slots[slot + 1]
         out = np.full(len(key), -2, np.int64)
-        for step in range(self.deepest):
-            here = np.minimum(at + step, len(self.keys) - 1)
-            hit = (at + step < end) & (self.keys[here] == key)
-            out = np.where(hit, self.ids[here], out)
+        todo = np.flatnonzero(at < end)
+        at, end, key = at[todo], end[todo], key[todo]
+        while len(todo):
+            hit = self.keys[at] == key
+            out[todo[hit]] = self.ids[at[hit]]
+            at += 1
+            more = ~hit & (at < end)
+            todo, at, end, key = todo[more], at[more], end[more], key[more]
         return out
 
     def normalized(self, text: str) -> str:
@@ -250,14 +254,16 @@ class Sampler:
             after = at + self.lattice.length[edge]
             at = after[after < self.end[at]]
 
-    def _keys_of_rest(self, edges: np.ndarray, run: np.ndarray, fresh: np.ndarray, bound: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
-        """(log-probability before each edge, key of what else leaves its start) for the positions `fresh`."""
-        before = run[fresh] - run[self.doc_start[self.doc[fresh]]]
-        p = np.exp(self.lattice.log_p[edges[fresh]])
+    def _draws_of_rest(self, edge: np.ndarray, before: np.ndarray, at: np.ndarray, sample: int) -> np.ndarray:
+        """Perturbed log-probability of what else leaves each start, not yet truncated by its path's key.
+
+        Truncation by one bound keeps the order, so it can wait for the largest.
+        """
+        lattice, row = self.lattice, self.row[at]
+        p = np.exp(lattice.log_p[edge])
         with np.errstate(divide="ignore"):
-            location = np.where(self.lattice.first[self.row[fresh]] == self.lattice.last[self.row[fresh]], -np.inf, before + np.log(np.maximum(1 - p, 0)))
-        u = uniform(self.keys[self.doc[fresh]], sample, self._place(fresh), 1)
-        return before, truncated(location, bound[self.doc[fresh]], u)
+            location = np.where(lattice.first[row] == lattice.last[row], -np.inf, before + np.log(np.maximum(1 - p, 0)))
+        return location + gumbel(uniform(self.keys[self.doc[at]], sample, self._place(at), 1))
 
     def run(self, k: int):
         """k rounds: (number, edges by position, key, log-probability, alive), and at last the next key."""
@@ -280,7 +286,6 @@ class Sampler:
                 if number == k:
                     rounds.append((np.where(alive, top, -np.inf),))
                     break
-                old = edges
                 edges = np.full(len(self.row), -1, np.int64)
                 bound = np.where(alive, top, 0.0)
                 for j, x in enumerate(open_):
@@ -297,31 +302,31 @@ class Sampler:
                 inside = onward[onward < self.end[lead]]
                 later = self.occ_start[alive[self.occ_doc] & (self.occ_start > branch[self.occ_doc])]
                 self._walk(np.concatenate([inside, later]), number, edges)
-                fresh = np.flatnonzero(edges >= 0)
-                fresh = fresh[fresh > branch[self.doc[fresh]]]
-                del old
-            else:
-                fresh = np.flatnonzero(edges >= 0)
             at = np.flatnonzero(edges >= 0)
-            run = np.zeros(len(edges) + 1)
-            run[at + 1] = lattice.log_p[edges[at]]
-            run = np.cumsum(run)
-            before, keys = self._keys_of_rest(edges, run, fresh, bound, number)
-            rounds.append((edges, bound.copy(), run[self.doc_end] - run[self.doc_start], alive.copy()))
-            cuts = np.searchsorted(fresh, np.append(self.doc_start, len(self.row)))
-            open_.append({"at": fresh, "keys": keys, "before": before, "edges": edges, "cuts": cuts, "taken": {}})
+            run = np.append(0, np.cumsum(lattice.log_p[edges[at]]))
+            cuts = np.searchsorted(at, np.append(self.doc_start, len(self.row)))
+            head = run[cuts[:-1]]
+            rounds.append((edges, bound.copy(), run[np.searchsorted(at, self.doc_end)] - head, alive.copy()))
+            before = run[:-1] - head[self.doc[at]]
+            if number:
+                later = at > branch[self.doc[at]]
+                at, before = at[later], before[later]
+                cuts = np.searchsorted(at, np.append(self.doc_start, len(self.row)))
+            draws = self._draws_of_rest(edges[at], before, at, number)
+            open_.append({"at": at, "draws": draws, "before": before, "edges": edges, "cuts": cuts, "bound": bound, "taken": {}})
         return rounds
 
     def _largest(self, x: dict) -> tuple[np.ndarray, np.ndarray]:
         best, at = np.full(self.n, -np.inf), np.full(self.n, -1)
-        cuts, keys = x["cuts"], x["keys"]
+        cuts, keys = x["cuts"], x["draws"]
         some = np.flatnonzero(cuts[1:] > cuts[:-1])
         if len(some):
             best[some] = np.maximum.reduceat(keys, cuts[some])
             first = np.flatnonzero(keys == np.repeat(best[some], (cuts[1:] - cuts[:-1])[some]))
             doc = self.doc[x["at"][first]]
             at[doc[::-1]] = first[::-1]
-        return best, at
+        with np.errstate(invalid="ignore"):
+            return np.where(np.isneginf(best), -np.inf, -np.logaddexp(-x["bound"], -best)), at
 
     def _other(self, x: dict, slot: int, t: int, d: int, number: int, bound: float) -> int:
         """An edge from t that no earlier path took; what remains there gets a new key."""
@@ -336,7 +341,10 @@ class Sampler:
         taken.append(pick)
         rest = lattice.log_p[left[left != pick]]
         location = np.array([x["before"][slot] + np.logaddexp.reduce(rest)]) if len(rest) else np.array([-np.inf])
-        x["keys"][slot] = truncated(location, np.array([bound]), uniform(key, number, place, 4))[0]
+        left_key = float(truncated(location, np.array([bound]), uniform(key, number, place, 4))[0])
+        # Stored so that truncation by the path's own key gives it back.
+        own = float(x["bound"][d])
+        x["draws"][slot] = left_key - np.log(-np.expm1(min(left_key - own, -1e-300))) if np.isfinite(left_key) else -np.inf
         return pick
 
     def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
