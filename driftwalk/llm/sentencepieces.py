@@ -68,6 +68,11 @@ def truncated(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndar
     return np.where(np.isneginf(location), -np.inf, -np.logaddexp(-bound, -drawn))
 
 
+def _multiples(x: np.ndarray, bits: int) -> np.ndarray:
+    """Rounded to multiples of 2 ** -bits: their sums are exact, so the texts beside one don't change its results."""
+    return np.ldexp(np.rint(np.ldexp(x, bits)), -bits)
+
+
 class Model:
     """Pieces with log weights, and hashes of all their prefixes."""
 
@@ -193,8 +198,8 @@ class Lattice:
             top = np.maximum.reduceat(value, head)
             total[nodes] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, many)), head))
         after = np.where(self.length < left[start], total[np.minimum(start + self.length, n)], 0.0)
-        self.log_p = weight + after - total[start]
-        p = np.exp(self.log_p)
+        self.log_p = _multiples(weight + after - total[start], 26)
+        p = _multiples(np.exp(self.log_p), 32)
         run = np.cumsum(p)
         before = np.append(0, run)[self.first[:-1]]
         self.upto = run - before[start]

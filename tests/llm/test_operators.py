@@ -309,6 +309,13 @@ def test_gumbel_samples(model):
         assert abs(first[ids] / n - math.exp(weights[ids] - total)) < 0.04 and abs(inverse[ids] / n - 1) < 0.05
 
 
+def test_samples_do_not_depend_on_the_run(model):
+    texts = ["the cat sat on the mat " * n + str(n) for n in range(1, 60)]
+    whole = sentencepieces.sample_rows(model, list(range(59)), texts, 3, 7, True)
+    single = [row for i, t in enumerate(texts) for row in sentencepieces.sample_rows(model, [i], [t], 3, 7, True)]
+    assert sorted(whole) == sorted(single)
+
+
 def test_segmentation_frames(spark, model):
     path = public_tokenizers.path("piece_bpe_32k.model")
     texts = [t for t in ODD if t is None or len(t) < 1000] + ["z" * 2000, "a ▁b"]
