@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,18 +45,28 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def _hash(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _MIX[0]
+    x ^= x >> np.uint64(29)
+    x *= _MIX[1]
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def stream(key: np.ndarray, sample: int, purpose: int) -> np.ndarray:
+    """What the draws of a row key, a sample and a purpose share."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(31))) * _MIX[0]
-        x = (x ^ (x >> np.uint64(29))) * _MIX[1]
-        return x ^ (x >> np.uint64(32))
+        return _hash(key + np.uint64(sample * 8 + purpose + 1) * _STEP)
+
+
+def drawn(of: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """In (0, 1), by stream and position."""
+    x = _hash(of ^ (position.astype(np.uint64) * _MIX[0]))
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
 def uniform(key: np.ndarray, sample: int, position: np.ndarray, purpose: int) -> np.ndarray:
     """In (0, 1), a pure function of its arguments."""
-    with np.errstate(over="ignore"):
-        x = _hash(key + np.uint64(sample * 8 + purpose + 1) * _STEP)
-        x = _hash(x ^ (position.astype(np.uint64) * _MIX[0]))
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+    return drawn(stream(key, sample, purpose), position)
 
 
 def gumbel(u: np.ndarray) -> np.ndarray:
@@ -222,21 +233,29 @@ def _chunks(model: Model, text: str | None) -> list[str]:
     return _CHUNK.findall(s)
 
 
+class _Numbers(dict):
+    """Numbers keys as they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 class Sampler:
     """Segmentations of a run of texts."""
 
     def __init__(self, model: Model, texts: list[str | None], keys: np.ndarray):
         self.model, self.n = model, len(texts)
         cut = [_chunks(model, t) for t in texts]
-        coded = pa.array([c for x in cut for c in x], pa.string()).dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
+        per = np.array([len(x) for x in cut], np.int64)
+        numbers = _Numbers()
+        index = np.fromiter(map(numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(per.sum()))
+        chunks = list(numbers)
         self.lattice = Lattice(model, chunks)
-        index = coded.indices.to_numpy().astype(np.int64)
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))[index]
         self.occ_end = np.cumsum(size)
         self.occ_start = self.occ_end - size
         total = int(size.sum())
-        per = np.array([len(x) for x in cut], np.int64)
         edge = np.append(0, self.occ_end)
         self.doc_start = edge[np.cumsum(per) - per]
         self.doc_end = edge[np.cumsum(per)]
@@ -252,9 +271,10 @@ class Sampler:
 
     def _walk(self, at: np.ndarray, sample: int, edges: np.ndarray) -> None:
         """Samples edges from each start on, to the end of its chunk."""
+        of = stream(self.keys, sample, 0)
         while len(at):
-            u = uniform(self.keys[self.doc[at]], sample, self._place(at), 0)
-            edge = self.lattice.choose(self.row[at], u)
+            doc = self.doc[at]
+            edge = self.lattice.choose(self.row[at], drawn(of[doc], at - self.doc_start[doc]))
             edges[at] = edge
             after = at + self.lattice.length[edge]
             at = after[after < self.end[at]]
@@ -264,11 +284,11 @@ class Sampler:
 
         Truncation by one bound keeps the order, so it can wait for the largest.
         """
-        lattice, row = self.lattice, self.row[at]
+        lattice, row, doc = self.lattice, self.row[at], self.doc[at]
         p = np.exp(lattice.log_p[edge])
         with np.errstate(divide="ignore"):
             location = np.where(lattice.first[row] == lattice.last[row], -np.inf, before + np.log(np.maximum(1 - p, 0)))
-        return location + gumbel(uniform(self.keys[self.doc[at]], sample, self._place(at), 1))
+        return location + gumbel(drawn(stream(self.keys, sample, 1)[doc], at - self.doc_start[doc]))
 
     def run(self, k: int):
         """k rounds: (number, edges by position, key, log-probability, alive), and at last the next key."""
