@@ -39,7 +39,7 @@ from driftwalk.llm.common import slices, two_columns
 BLANK = "▁"
 _CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 #: Characters of text whose lattice a worker holds at once.
-RUN_CHARS = 750_000
+RUN_CHARS = 60_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # mixing factors
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
