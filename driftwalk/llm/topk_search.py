@@ -36,49 +36,63 @@ class SortedLists:
         order = np.argsort(vectors, axis=0, kind="stable")
         self.order = np.ascontiguousarray(order.T)
         self.values = np.ascontiguousarray(np.take_along_axis(vectors, order, axis=0).T)
+        self.doubles, self.largest = self.values.astype(np.float64), int(np.abs(vectors).max(initial=0))
 
     def top(self, query_id: int, query: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray, int]:
         """(rows, scores, entries read) of candidates that may be among the best k; floor: the k-th best score so far."""
         n = len(self.ids)
-        active = np.flatnonzero(query)
-        weight, own = query[active], self.ids == query_id
+        plus, minus = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        active, own = np.concatenate([plus, minus]), self.ids == query_id
         if not len(active):
             return np.arange(n)[~own], np.zeros(int((~own).sum()), np.int64), 0
-        up = weight > 0
-        worst = np.where(up, self.values[active, 0], self.values[active, -1]) * weight
-        lower = np.full(n, worst.sum(), np.int64)  # what a candidate has at least
-        gap = np.zeros(n, np.int64)  # how much of its upper bound is read
+        small = self.largest * int(np.abs(query).max()) * 2 * len(active) < 1 << 52  # doubles hold all sums exactly
+        values = self.doubles if small else self.values
+        weight = query[active].astype(values.dtype)
+        worst = np.concatenate([values[plus, 0], values[minus, -1]]) * weight
+        # The last read values at each look, and their sum: what a row that wasn't seen has at most.
+        looks = np.arange(DEPTH, n, DEPTH)
+        last = np.concatenate([values[plus[:, None], n - looks], values[minus[:, None], looks - 1]]) * weight[:, None]
+        unseen = last.sum(axis=0)
+
+        def entries(read: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+            rows = np.concatenate([self.order[plus, n - depth : n - read], self.order[minus, read:depth]])
+            return rows, np.concatenate([values[plus, n - depth : n - read], values[minus, read:depth]]) * weight[:, None]
+
+        def resolved(look: int, bar, parts) -> tuple[np.ndarray, np.ndarray, int]:
+            # Upper bound of a row: its read entries, and the last read values of all other lists.
+            upper = unseen[look] + sum(self._add(r, g - last[:, look, None], n) for r, g in parts)
+            keep = np.flatnonzero((upper >= bar) & ~own)
+            return keep, self.vectors[keep] @ query, int(looks[look]) * len(active)
+
+        if floor is not None:
+            # The k-th best score so far bounds what qualifies: read on until no unseen row can reach it.
+            ends = np.flatnonzero(unseen < floor)
+            if len(ends):
+                return resolved(int(ends[0]), floor, [entries(0, int(looks[ends[0]]))])
+        lower = np.full(n, worst.sum())  # what a candidate has at least
         parts, read = [], 0
-        while read < n:
-            take = min(DEPTH, n - read)
-            rows = np.where(up[:, None], self.order[active, n - read - take : n - read], self.order[active, read : read + take])
-            gained = np.where(up[:, None], self.values[active, n - read - take : n - read], self.values[active, read : read + take]) * weight[:, None]
-            parts.append(rows)
+        for look, depth in enumerate([*looks.tolist(), n]):
+            rows, gained = entries(read, depth)
             lower += self._add(rows, gained - worst[:, None], n)
-            gap += self._add(rows, gained, n)
-            read += take
+            read = depth
             if read == n:
                 break
-            last = np.where(up, self.values[active, n - read], self.values[active, read - 1]) * weight
+            parts.append((rows, gained))
             others = lower[~own]
-            kth = int(np.partition(others, -k)[-k]) if len(others) >= k else None
+            kth = np.partition(others, -k)[-k] if len(others) >= k else None
             bar = kth if floor is None else floor if kth is None else max(kth, floor)
-            if bar is None or last.sum() >= bar:
-                continue  # a row that wasn't seen could still qualify
-            # Upper bound of a row: its read entries, and the last read values of all other lists.
-            passed = np.concatenate(parts, axis=1)
-            upper = gap + last.sum() - self._add(passed, np.broadcast_to(last[:, None], passed.shape), n)
-            keep = np.flatnonzero((upper >= bar) & ~own)
-            return keep, self.vectors[keep] @ query, read * len(active)
+            if bar is not None and unseen[look] < bar:
+                return resolved(look, bar, parts)
+        lower = lower.astype(np.int64)
         keep = np.flatnonzero(~own & (lower >= (floor if floor is not None else lower.min())))
         return keep, lower[keep], read * len(active)
 
     @staticmethod
     def _add(rows: np.ndarray, amounts: np.ndarray, n: int) -> np.ndarray:
-        """Sums of amounts by row; doubles hold them exactly below 2 ** 53."""
-        if np.abs(amounts).max(initial=0) * rows.shape[0] < 1 << 52:
-            return np.bincount(rows.ravel(), amounts.ravel(), n).astype(np.int64)
-        out = np.zeros(n, np.int64)
+        """Sums of amounts by row, in the amounts' type."""
+        if amounts.dtype == np.float64:
+            return np.bincount(rows.ravel(), amounts.ravel(), n)
+        out = np.zeros(n, amounts.dtype)
         np.add.at(out, rows.ravel(), amounts.ravel())
         return out
 
