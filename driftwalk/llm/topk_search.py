@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a block of candidates and of queries.
-CANDIDATES, QUERIES = 4096, 512
+#: Vectors in a block of candidates and of queries, at most; partitions hold half of that, so that few blocks are remainders.
+CANDIDATES, QUERIES = 8192, 512
 #: Entries read of each list between two looks at the bounds.
 DEPTH = 256
 
@@ -36,6 +36,7 @@ class SortedLists:
         order = np.argsort(vectors, axis=0, kind="stable")
         self.order = np.ascontiguousarray(order.T)
         self.values = np.ascontiguousarray(np.take_along_axis(vectors, order, axis=0).T)
+        self.dense = np.ascontiguousarray(vectors, np.float64)
         self.doubles, self.largest = self.values.astype(np.float64), int(np.abs(vectors).max(initial=0))
 
     def top(self, query_id: int, query: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -62,7 +63,13 @@ class SortedLists:
             # Upper bound of a row: its read entries, and the last read values of all other lists.
             upper = unseen[look] + sum(self._add(r, g - last[:, look, None], n) for r, g in parts)
             keep = np.flatnonzero((upper >= bar) & ~own)
-            return keep, self.vectors[keep] @ query, int(looks[look]) * len(active)
+            if not small:
+                scores = self.vectors[keep] @ query
+            elif 4 * len(keep) < n:
+                scores = self.dense[keep] @ query.astype(np.float64)
+            else:  # cheaper than picking rows
+                scores = (self.dense @ query.astype(np.float64))[keep]
+            return keep, scores.astype(np.int64), int(looks[look]) * len(active)
 
         if floor is not None:
             # The k-th best score so far bounds what qualifies: read on until no unseen row can reach it.
@@ -151,7 +158,7 @@ def top_k(df: DataFrame, query_filter: Column, k: int = 20, scale: int = 64, id_
     rows = _vectors(df, id_col, vector_col, scale)
     lanes = lanes or shuffle_partitions(df.sparkSession)
     many = rows.count()
-    spread = max(1, min(lanes, -(-many // CANDIDATES)))
+    spread = max(1, min(lanes, -(-2 * many // CANDIDATES)))
     candidates = staged(_packed(rows.repartition(spread, F.xxhash64("vec_id")), CANDIDATES, "c"), "topk-candidates")
     queries = rows.where(query_filter).repartition(max(1, min(lanes, spread)), F.xxhash64("vec_id"))
     queries = staged(_packed(queries, QUERIES, "q"), "topk-queries").withColumn("q", F.monotonically_increasing_id())
