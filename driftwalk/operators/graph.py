@@ -117,23 +117,26 @@ def spmv(edges: DataFrame, vector: DataFrame) -> DataFrame:
     return joined.groupBy(F.col("src").alias("vertex")).agg(F.sum("value").alias("value"))
 
 
-def components(edges: DataFrame, vertices: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(vertex, component): the smallest reachable id, for undirected edges.
 
-    Large-star and small-star rounds: labels are pulled and pointers jumped in
-    each round, so rounds grow with the logarithm of the diameter. Each round
-    is materialised by checkpoint() in the shared folder.
+    Labels are parents in trees. In each round a vertex takes the smallest
+    label near it, the root of a tree takes the smallest that any vertex of
+    its tree has found, and pointers jump: whole trees merge, and so rounds
+    grow with the logarithm of the vertices on chains too. They go on until no
+    label changes. Each is materialised by checkpoint() in the shared folder.
     """
     from driftwalk.plans.materialise import cut
 
     labels = vertices.select("vertex", F.col("vertex").alias("component")).distinct()
-    for _ in range(max_rounds):
+    while True:
         pulled = edges.join(labels.select(F.col("vertex").alias("dst"), F.col("component").alias("near")), "dst")
         pulled = pulled.groupBy(F.col("src").alias("vertex")).agg(F.min("near").alias("near"))
         better = labels.join(pulled, "vertex", "left").select("vertex", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
-        jump = better.select(F.col("vertex").alias("low"), F.col("low").alias("jumped"))
-        after = cut(better.join(jump, "low", "left").select("vertex", F.coalesce("jumped", "low").alias("next"), "component"))
+        hooks = better.where("low < component").groupBy(F.col("component").alias("vertex")).agg(F.min("low").alias("hook"))
+        hooked = better.join(hooks.hint("merge"), "vertex", "left").select("vertex", "component", F.least("low", F.coalesce("hook", "low")).alias("low"))
+        jump = hooked.select(F.col("vertex").alias("low"), F.col("low").alias("jumped"))
+        after = cut(hooked.join(jump, "low", "left").select("vertex", F.coalesce("jumped", "low").alias("next"), "component"))
         if after.where("next <> component").isEmpty():
             return after.select("vertex", "component")
         labels = after.select("vertex", F.col("next").alias("component"))
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
