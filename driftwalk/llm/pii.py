@@ -1,7 +1,7 @@
 """Operator 1: personal data by weak supervision, in DataFrame functions alone.
 
 Candidates are the base patterns' matches (e-mail, IP, card, phone), valid or
-not, and tokens that look like credentials. Five labelers vote on each, for,
+not, and tokens that look like credentials and overlap no valid one. Five labelers vote on each, for,
 against or not at all: the base check, the shape, a gazetteer of prefixes and
 key words, the context before it, and the variety of its characters.
 Expectation-maximisation over the counts of vote patterns (3 ** 5 at most)
@@ -34,8 +34,8 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,40}[0-9])(?=[0-9_+/-]{0,40}[A-Za-z])[A-Za-z0-9_+/-]{16,}+",
 }
-#: What a text holds if it may have a match; cheaper than the pattern.
-HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){12}", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9_+/-]{16}"}
+#: What every text with a match holds, be it valid or not; cheaper than the pattern.
+HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9_+/-]{16}"}
 # Prefixes of issued keys, and words that stand before personal data.
 KEY_PREFIXES = r"^(?:AKIA|ASIA|ghp_|gho_|glpat-|sk_live_|sk-|xox[abp]-|AIza|eyJ)"
 KEY_WORDS = r"(?i)(?:passw(?:or)?d|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|credential|bearer)\W{0,4}$"
@@ -84,6 +84,10 @@ def _valid(kind: str, s: Column) -> Column:
     return F.lit(False)
 
 
+def _validator(kind: str):
+    return lambda x: _valid(kind, x["s"])
+
+
 def _sign(plus: Column, minus: Column) -> Column:
     return F.when(plus, 1).when(minus, -1).otherwise(0)
 
@@ -124,7 +128,7 @@ def candidates(docs: DataFrame, keep: list[str], text_col: str = "text") -> Data
     out = docs.select(*(F.col(c).alias(f"keep_{c}") for c in keep), text.alias("body"))
     for kind in KINDS:
         out = out.withColumn(f"raw_{kind}", F.when(F.rlike("body", F.lit(HINTS[kind])), _found(F.col("body"), PATTERNS[kind])).otherwise(none))
-    other = F.concat(*(F.col(f"raw_{k}") for k in BASE_KINDS))
+    other = F.concat(*(F.filter(f"raw_{k}", _validator(k)) for k in BASE_KINDS))
     apart = F.filter("raw_secret", lambda x: ~F.exists(other, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
     out = out.withColumn("raw_secret", F.when(F.size("raw_secret") > 0, apart).otherwise(none))
     found = [F.transform(f"raw_{k}", _describer(k, F.col("body"))) for k in KINDS]
