@@ -389,12 +389,6 @@ class Sampler:
         return piece.astype(np.uint32), np.bincount(doc, minlength=self.n)
 
 
-def decode(model: Model, ids: list[int]) -> str:
-    """Text of piece ids: bytes are joined, blanks restored, the first one dropped."""
-    text = b"".join(map(model.raw.__getitem__, ids)).decode("utf-8", "replace")
-    return text[1:] if text[:1] == " " else text
-
-
 def decoded_bytes(model: Model, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     """(bytes of all pieces, end of each piece in them)."""
     size = model.raw_size[ids]
@@ -451,12 +445,24 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, seed: int
     return two_columns(docs, id_col, text_col).mapInArrow(encode, SAMPLES_SQL)
 
 
-def decode_ids(rows: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text) of rows with ids; null ids give null."""
+def decode_ids(rows: DataFrame, model_path: str, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the columns `keep`, text) of rows with ids; null ids give null.
+
+    Bytes of pieces are joined, blanks restored, the first one dropped.
+    """
+    columns = [id_col, *keep]
+
     def back(batches):
         model = worker_model(model_path)
         for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([None if x is None else decode(model, x) for x in ids], pa.string())], [id_col, "text"])
-
-    return rows.select(id_col, "ids").mapInArrow(back, f"{id_col} long, text string")
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                ids = part.column("ids")
+                ends = np.append(0, np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+                spelled, upto = decoded_bytes(model, ids.flatten().to_numpy(zero_copy_only=False))
+                upto = np.append(0, upto)[ends].tolist()
+                texts = [spelled[a:b].decode("utf-8", "replace").removeprefix(" ") if known else None for a, b, known in zip(upto, upto[1:], ids.is_valid().to_pylist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(texts, pa.string())], [*columns, "text"])
+
+    kept = rows.select(*columns).schema
+    return rows.select(*dict.fromkeys([*columns, "ids"])).mapInArrow(back, kept.add("text", "string"))
