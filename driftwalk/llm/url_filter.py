@@ -3,7 +3,8 @@
 The trees learn from URLs that a rule decides, a sample of at most
 `sample_rows` of them chosen by a hash of the URL (a documented bound). They
 see lexical features alone: lengths, depth, digit ratio, entropy, counts of
-parameters, and block rates of the host's last labels among the training URLs.
+parameters, and block rates and supports of the host's last labels, counted
+over all distinct URLs that a rule decides and joined to the rows.
 
 Null URLs and those without `://`: empty host and path, no rule, judged by the
 trees like any other. Repeated rows are judged each. Without labelled URLs of
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwalk.llm.common import staged
+
 # Host suffix and path prefix, and what becomes of such URLs.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -64,30 +67,26 @@ def lexical(url: str | None) -> list[float]:
     ]
 
 
-def suffixes(url: str | None) -> tuple[str, str]:
+def suffix_columns(host: Column) -> tuple[Column, Column]:
     """The last label and the last two labels of the host."""
-    labels = re.split(r"[/?#]", (url or "").partition("://")[2], maxsplit=1)[0].lower().split(".")
-    return labels[-1], ".".join(labels[-2:])
+    return F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
+
+
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """(suffix, n, blocked): how many of labelled(host, verdict) end so, and how many of them are blocked."""
+    each = labelled.select(F.explode(F.array_distinct(F.array(*suffix_columns(F.col("host"))))).alias("suffix"), (F.col("verdict") == "block").cast("long").alias("blocked"))
+    return each.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("blocked").alias("blocked"))
 
 
-class SuffixStatistics:
-    """Smoothed block rate and support of host suffixes in the training URLs."""
+STATISTICS = ("n_1", "blocked_1", "n_2", "blocked_2")
 
-    def __init__(self, urls: list[str | None], blocked: np.ndarray, smooth: float = 20.0):
-        self.rate = float(blocked.mean()) if len(blocked) else 0.5
-        self.smooth, self.counts = smooth, {}
-        for url, b in zip(urls, blocked.tolist(), strict=True):
-            for s in set(suffixes(url)):
-                hit = self.counts.setdefault(s, [0, 0])
-                hit[0] += 1
-                hit[1] += b
 
-    def features(self, url: str | None) -> list[float]:
-        out = []
-        for s in suffixes(url):
-            n, b = self.counts.get(s, (0, 0))
-            out += [(b + self.smooth * self.rate) / (n + self.smooth), math.log1p(n)]
-        return out
+def with_statistics(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows(host, ...) with the counts of both suffixes, 0 for those without labelled URLs."""
+    for k, suffix in enumerate(suffix_columns(F.col("host")), 1):
+        known = counts.select(F.col("suffix").alias(f"suffix_{k}"), F.col("n").alias(f"n_{k}"), F.col("blocked").alias(f"blocked_{k}"))
+        rows = rows.withColumn(f"suffix_{k}", suffix).join(known, f"suffix_{k}", "left").drop(f"suffix_{k}")
+    return rows.fillna(0, list(STATISTICS))
 
 
 class BoostedTrees:
@@ -151,20 +150,30 @@ class BoostedTrees:
 
 
 class UrlModel:
-    def __init__(self, urls: list[str | None], verdicts: list[str]):
-        blocked = np.array([v == "block" for v in verdicts], np.float64)
-        self.constant = None if 0 < blocked.sum() < len(blocked) else (1.0 if len(blocked) and blocked.all() else 0.0)
-        self.suffix = SuffixStatistics(urls, blocked)
-        self.trees = BoostedTrees().fit(self.features(urls), blocked) if self.constant is None else None
-
-    def features(self, urls: list[str | None]) -> np.ndarray:
-        return np.array([lexical(u) + self.suffix.features(u) for u in urls], np.float64).reshape(len(urls), -1)
-
-    def probability(self, urls: list[str | None]) -> np.ndarray:
+    """Trees fitted to a sample of (url, verdict, STATISTICS); n and blocked count all labelled URLs."""
+
+    def __init__(self, sample: list, n: int, blocked: int, smooth: float = 20.0):
+        self.rate, self.smooth = blocked / n if n else 0.5, smooth
+        self.constant = None if 0 < blocked < n else (1.0 if n and blocked == n else 0.0)
+        if self.constant is None:
+            x = self.features([r.url for r in sample], [[r[c] for r in sample] for c in STATISTICS])
+            self.trees = BoostedTrees().fit(x, np.array([r.verdict == "block" for r in sample], np.float64))
+
+    def features(self, urls: list[str | None], statistics: list[list[int]]) -> np.ndarray:
+        """Lexical features, and smoothed block rate and support of both host suffixes."""
+        rows = []
+        for url, n_1, blocked_1, n_2, blocked_2 in zip(urls, *statistics, strict=True):
+            row = lexical(url)
+            for n, b in ((n_1, blocked_1), (n_2, blocked_2)):
+                row += [(b + self.smooth * self.rate) / (n + self.smooth), math.log1p(n)]
+            rows.append(row)
+        return np.array(rows, np.float64).reshape(len(urls), -1)
+
+    def probability(self, urls: list[str | None], statistics: list[list[int]]) -> np.ndarray:
         """Of being blocked."""
-        if not len(urls) or self.trees is None:
+        if not len(urls) or self.constant is not None:
             return np.full(len(urls), self.constant if self.constant is not None else 0.0)
-        return self.trees.probability(self.features(urls))
+        return self.trees.probability(self.features(urls, statistics))
 
 
 def judge(pages: DataFrame, rules=RULES, sample_rows: int = 20_000, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -174,18 +183,20 @@ def judge(pages: DataFrame, rules=RULES, sample_rows: int = 20_000, threshold: f
     rows = rows.withColumn("host", host).withColumn("path", path)
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     ruled = rows.withColumn("rule", rule).withColumn("verdict", verdict)
-    sample = ruled.where("verdict IS NOT NULL").select(F.xxhash64("url").alias("h"), "url", "verdict").dropDuplicates(["url"]).orderBy("h", "url").limit(sample_rows).collect()
-    held = pages.sparkSession.sparkContext.broadcast(UrlModel([r.url for r in sample], [r.verdict for r in sample]))
+    labelled = ruled.where("verdict IS NOT NULL")
+    distinct = labelled.select("url", "host", "verdict").dropDuplicates(["url"])
+    counts = staged(suffix_counts(distinct), "url-suffixes")
+    total = distinct.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("verdict") == "block").cast("long")), F.lit(0)).alias("blocked")).first()
+    sample = with_statistics(distinct.select(F.xxhash64("url").alias("h"), "url", "host", "verdict").orderBy("h", "url").limit(sample_rows), counts).orderBy("h", "url").collect()
+    held = pages.sparkSession.sparkContext.broadcast(UrlModel(sample, total.n, total.blocked))
     schema = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("block_score", pa.float64())])
 
     def decide(batches):
         for batch in batches:
-            urls, verdicts = batch.column("url").to_pylist(), batch.column("verdict").to_pylist()
-            todo = [k for k, v in enumerate(verdicts) if v is None]
-            scores = [None] * len(urls)
-            for k, p in zip(todo, held.value.probability([urls[k] for k in todo]).tolist(), strict=True):
-                verdicts[k], scores[k] = ("block" if p >= threshold else "allow"), p
+            scores = held.value.probability(batch.column("url").to_pylist(), [batch.column(c).to_pylist() for c in STATISTICS])
+            verdicts = ["block" if p >= threshold else "allow" for p in scores.tolist()]
             columns = [batch.column("page_id"), batch.column("host"), batch.column("path"), batch.column("rule"), pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return ruled.mapInArrow(decide, "page_id long, host string, path string, rule string, verdict string, block_score double")
+    judged = with_statistics(ruled.where("verdict IS NULL"), counts).mapInArrow(decide, "page_id long, host string, path string, rule string, verdict string, block_score double")
+    return labelled.select("page_id", "host", "path", "rule", "verdict", F.lit(None).cast("double").alias("block_score")).unionByName(judged)
