@@ -394,9 +394,12 @@ query("random_shuffle")(lambda s, d: ordered.shuffled(_seq(s, d), 5))
 
 @query("adjacency_text_roundtrip", f"WITH {SMALL} SELECT src, dst FROM e")
 def _text_roundtrip(spark, sf):
+    return _through_text(spark, sf, _small(spark, sf))
+
+
+def _through_text(spark, sf, edges):
     from driftwalk.plans.materialise import shared_dir
 
-    edges = _small(spark, sf)
     at = f"{shared_dir(spark)}/adjacency-{abs(hash(sf)) % 10**8}-{spark.sparkContext.applicationId}-{next(_COUNTER)}"
     graph_files.write_adjacency_text(edges, edges.agg(F.max("src")).first()[0] + 1, at)
     return graph_files.load_graph(spark, at, "adjacency_text")
@@ -414,6 +417,11 @@ _COUNTER = _counter()
 
 @query("streaming_foreach_batch", f"WITH RECURSIVE {PAIRS}, {_mirror('e', "dt < TIMESTAMP '1995-03-01'")}, {_mirror('b1', "dt >= TIMESTAMP '1995-03-01' AND dt < TIMESTAMP '1995-03-15'")}, e1 AS (SELECT src, dst FROM e UNION SELECT src, dst FROM b1) SELECT src, dst FROM e1")
 def _stream(spark, sf):
+    pairs = tables.tripartite_pairs(spark, sf).where("at >= timestamp'1995-03-01' AND at < timestamp'1995-03-15'")
+    return _streamed(spark, _small(spark, sf), pairs)
+
+
+def _streamed(spark, base, pairs):
     """A stream of one edge file through foreachBatch into a stored corpus; the edges of the new version."""
     from driftwalk.plans.materialise import shared_dir
     from driftwalk.streaming.runner import CorpusStore, run_stream
@@ -421,8 +429,7 @@ def _stream(spark, sf):
     at = f"{shared_dir(spark)}/stream-{spark.sparkContext.applicationId}-{next(_COUNTER)}"
     config = WalkConfig(length=3)
     store = CorpusStore(spark, f"{at}/store", config)
-    store.write(updates.new_corpus(_small(spark, sf), config), 0)
-    pairs = tables.tripartite_pairs(spark, sf).where("at >= timestamp'1995-03-01' AND at < timestamp'1995-03-15'")
+    store.write(updates.new_corpus(base, config), 0)
     tables.mirrored(pairs).withColumn("op", F.lit("insert")).coalesce(1).write.parquet(f"{at}/in")
     stream = spark.readStream.schema("src long, dst long, op string").parquet(f"{at}/in")
     run_stream(stream, store, f"{at}/checkpoint").awaitTermination()
@@ -438,13 +445,13 @@ def _windowed(spark, sf):
 
 @query("word2vec_embeddings")
 def _vectors(spark, sf):
-    paths = lookup.walk_paths(walks.generate(_small(spark, sf), WalkConfig(length=8))).where("size(path) > 1")
+    paths = lookup.walk_paths(walks.generate(_edges(spark, sf), WalkConfig(length=8))).where("size(path) > 1")
     return embeddings.word2vec(paths, dim=8).select("vertex")
 
 
 @query("vertex_classification")
 def _classified(spark, sf):
-    paths = lookup.walk_paths(walks.generate(_small(spark, sf), WalkConfig(length=8))).where("size(path) > 1")
+    paths = lookup.walk_paths(walks.generate(_edges(spark, sf), WalkConfig(length=8))).where("size(path) > 1")
     vectors = embeddings.word2vec(paths, dim=8)
     return embeddings.accuracy(embeddings.classify(vectors, vectors.select("vertex", (F.col("vertex") % 3).alias("label"))))
 
@@ -463,3 +470,15 @@ def _bytes(spark, sf):
     return metrics.stored_bytes(spark, at)
 
 
+
+
+# ---------------------------------------------------------------- whole tables
+# What the queries above compare with SQL on a part of the tables, over all of them; SQL would be too slow.
+
+query("connected_components_whole")(lambda s, d: graph.components(e := _edges(s, d), e.select(F.col("src").alias("vertex"))))
+query("k_hop_frontier_whole")(lambda s, d: graph.k_hop(_edges(s, d), s.range(1).select(F.col("id").alias("vertex")), 3))
+query("neighbor_intersection_count_whole")(lambda s, d: graph.common_neighbors(_edges(s, d), _edges(s, d)))
+query("node2vec_steps_whole")(lambda s, d: walks.generate(_edges(s, d), N2V))
+query("mh_accept_whole")(lambda s, d: walks.generate(_edges(s, d), N2V_MH))
+query("adjacency_text_roundtrip_whole")(lambda s, d: _through_text(s, d, _edges(s, d)))
+query("streaming_foreach_batch_whole")(lambda s, d: _streamed(s, _base(s, d), tables.tripartite_pairs(s, d).where(F.col("at") >= F.lit(BASE_BEFORE).cast("timestamp"))))
