@@ -322,7 +322,11 @@ query("mh_accept", _n2v_sql(N2V_MH))(lambda s, d: walks.generate(_small(s, d), N
 @query("node2vec_weights", f"WITH {SMALL} SELECT x.dst cur, x.src prev, y.dst cand, CASE WHEN y.dst = x.src THEN 4 WHEN EXISTS (SELECT 1 FROM e z WHERE z.src = x.src AND z.dst = y.dst) THEN 2 ELSE 1 END::BIGINT wt FROM e x JOIN e y ON y.src = x.dst WHERE x.src < 60")
 def _weights(spark, sf):
     edges = _small(spark, sf)
-    states = edges.where("src < 60").select(F.col("src").alias("prev"), F.col("dst").alias("cur"))
+    return _weighed_states(edges, edges.where("src < 60"))
+
+
+def _weighed_states(edges, asked):
+    states = asked.select(F.col("src").alias("prev"), F.col("dst").alias("cur"))
     options = states.join(edges.select(F.col("src").alias("cur"), F.col("dst").alias("cand")), "cur")
     known = edges.select(F.col("src").alias("prev"), F.col("dst").alias("cand"), F.lit(True).alias("linked"))
     weighed = options.join(known, ["prev", "cand"], "left")
@@ -334,11 +338,15 @@ TRIALS = 8
 
 @query("mh_weight_init", f"WITH {SMALL}, {_adj()}, q AS (SELECT src prev, dst cur FROM e WHERE src < 90), t AS (SELECT range k FROM range({TRIALS})), c AS (SELECT q.prev, q.cur, k, a.v, CASE WHEN a.v = q.prev THEN 4 WHEN EXISTS (SELECT 1 FROM e z WHERE z.src = q.prev AND z.dst = a.v) THEN 2 ELSE 1 END wt FROM q, t, adj a WHERE a.u = q.cur AND a.idx = {portable_draw_sql('q.prev * 1000003 + q.cur', 'k')} % a.deg) SELECT prev, cur, arg_max(v, wt * 100 - k) \"last\" FROM c GROUP BY 1, 2")
 def _weight_init(spark, sf):
+    edges = _small(spark, sf)
+    return _chain_starts(edges, edges.where("src < 90"))
+
+
+def _chain_starts(edges, asked):
     """The first of TRIALS proposals with the largest weight starts each chain."""
     from driftwalk.functions.rng import portable_draw
 
-    edges = _small(spark, sf)
-    states = edges.where("src < 90").select(F.col("src").alias("prev"), F.col("dst").alias("cur"))
+    states = asked.select(F.col("src").alias("prev"), F.col("dst").alias("cur"))
     deg = graph.degrees(edges).select(F.col("vertex").alias("cur"), "degree")
     tried = states.join(deg, "cur").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(TRIALS - 1))))
     tried = tried.withColumn("idx", portable_draw(F.col("prev") * 1000003 + F.col("cur"), F.col("k")) % F.col("degree"))
@@ -446,7 +454,7 @@ def _windowed(spark, sf):
 @query("word2vec_embeddings")
 def _vectors(spark, sf):
     paths = lookup.walk_paths(walks.generate(_edges(spark, sf), WalkConfig(length=8))).where("size(path) > 1")
-    return embeddings.word2vec(paths, dim=8).select("vertex")
+    return embeddings.word2vec(paths, dim=8)
 
 
 @query("vertex_classification")
@@ -482,3 +490,8 @@ query("node2vec_steps_whole")(lambda s, d: walks.generate(_edges(s, d), N2V))
 query("mh_accept_whole")(lambda s, d: walks.generate(_edges(s, d), N2V_MH))
 query("adjacency_text_roundtrip_whole")(lambda s, d: _through_text(s, d, _edges(s, d)))
 query("streaming_foreach_batch_whole")(lambda s, d: _streamed(s, _base(s, d), tables.tripartite_pairs(s, d).where(F.col("at") >= F.lit(BASE_BEFORE).cast("timestamp"))))
+query("find_next_whole")(lambda s, d: lookup.find_next(x := walks.generate(_edges(s, d), DEEP), x.select("walk_id", "pos", "vertex")))
+query("find_next_in_range_whole")(lambda s, d: lookup.find_next_in_range(x := walks.generate(_edges(s, d), DEEP), lookup.next_ranges(x), x.select("walk_id", "pos", "vertex"), LENGTH))
+query("node2vec_weights_whole")(lambda s, d: _weighed_states(e := _edges(s, d), e))
+query("mh_weight_init_whole")(lambda s, d: _chain_starts(e := _edges(s, d), e))
+query("rotate_reverse_append_whole")(lambda s, d: ordered.append(ordered.reverse(ordered.rotate(x := _seq(s, d), 7, n := x.count()), n), x, n))

@@ -48,6 +48,21 @@ def test_all_edges(spark, small, name):
     same(spark, small, f"{name}_whole", without(SQL[name], CUTS))
 
 
+@pytest.mark.parametrize("name", ["find_next", "find_next_in_range", "node2vec_weights", "mh_weight_init"])
+def test_all_steps_and_states(spark, small, name):
+    cuts = ["dt < TIMESTAMP '2001-01-01'", "pos = 2 AND walk_id % 5 = 0", "pos = 3 AND walk_id % 7 = 0", "x.src < 60", "src < 90"]
+    same(spark, small, f"{name}_whole", without(SQL[name], [*CUTS, *cuts]))
+
+
+def test_all_sequence_values(spark, small):
+    sql = SQL["rotate_reverse_append"].replace("100", str(N_ORDERS)).replace("99 -", f"{N_ORDERS - 1} -")
+    same(spark, small, "rotate_reverse_append_whole", sql)
+
+
+def test_vectors_are_returned(spark, small):
+    assert all(len(r.vector) == 8 and any(r.vector) for r in QUERIES["word2vec_embeddings"](spark, small).collect())
+
+
 def test_stream_ends_with_all_edges(spark, small):
     same(spark, small, "streaming_foreach_batch_whole", SQL["edges_symmetric"])
 
