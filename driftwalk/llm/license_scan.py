@@ -2,7 +2,7 @@
 
 Words are lower-cased runs of letters and digits. Around each anchor word the
 text is cut into overlapping windows, of each size that a template is indexed
-by. Windows have MinHash signatures; 12 bands of 2 samples retrieve templates
+by, clamped to the text's end; a shorter text is one window. Windows have MinHash signatures; 12 bands of 2 samples retrieve templates
 that share a band with one of their own windows. A pair of windows of
 similarity 0.75 is found with probability 0.99995, of 0.5 with 0.968, and each
 match has many windows. Retrieved pairs are verified exactly: the largest
@@ -122,9 +122,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
     near = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(anchors), i)))
 
     def begins(scale: int) -> Column:
-        """Windows around the anchors: each start, on the stride, from which a window holds one."""
-        starts = F.array_distinct(F.flatten(F.transform(near, lambda i: F.sequence(F.greatest(i - scale + 1, F.lit(0)), i))))
-        on_stride = F.filter(starts, lambda at: (at % max(1, scale // 8) == 0) & (at + scale <= F.size("words")))
+        """Windows around the anchors: each start, on the stride or the last, from which a window holds one."""
+        last = F.greatest(F.size("words") - scale, F.lit(0))
+        starts = F.array_distinct(F.flatten(F.transform(near, lambda i: F.sequence(F.least(F.greatest(i - scale + 1, F.lit(0)), last), F.least(i, last)))))
+        on_stride = F.filter(starts, lambda at: (at % max(1, scale // 8) == 0) | (at == last))
         return F.transform(on_stride, lambda at: F.struct(at.alias("start"), F.lit(scale).alias("scale")))
 
     cut = worded.withColumn("near", near).where(F.size("near") > 0)
