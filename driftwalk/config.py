@@ -12,7 +12,9 @@ class WalkConfig:
     segment_hops: hops between two materialisations of the walkers, so that
     neither the plan nor the carried path grows with the walk length.
     broadcast_edges: largest directed edge count for the broadcast strategy.
-    rewrite_fraction: affected share above which whole walks are replaced.
+    merge_frequency: batches between two compactions of a corpus.
+    snapshot_every: batches between two whole snapshots of a stored corpus;
+    the batches between them are stored as what they change.
     """
 
     walks_per_vertex: int = 1
@@ -24,8 +26,8 @@ class WalkConfig:
     sampler: str = "exact"
     segment_hops: int = 16
     broadcast_edges: int = 5_000_000
-    rewrite_fraction: float = 0.7
     merge_frequency: int = 1
+    snapshot_every: int = 16
 
     def __post_init__(self):
         if self.length < 1 or self.walks_per_vertex < 1:

@@ -31,38 +31,47 @@ def hashed_draw(walk_id, hop, seed=0, batch=0) -> Column:
     return F.shiftrightunsigned(F.xxhash64(as_col(seed), as_col(walk_id), as_col(hop), as_col(batch)), 33)
 
 
-class ParityStream:
-    """The two-word shift-rotate generator whose walks must come out alike.
+_WORD = (1 << 64) - 1
 
-    Seeded by a 64-bit mixer whose right shifts keep the sign; see the
-    constants below.
-    """
 
-    # Seeding increment and multipliers, shifts of the mixer, rotations and shift of a draw.
-    INCREMENT, MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-    MIX_SHIFTS, ROTATIONS, SHIFT = (30, 27, 31), (55, 36), 14
-    WORD = (1 << 64) - 1
+def _rotated(x: int, by: int) -> int:
+    return ((x << by) | (x >> (64 - by))) & _WORD
+
+
+def splitmix64(x: int, signed: bool = False) -> int:
+    """The splitmix64 output function of a state. signed: right shifts keep the sign, a deviation from the public definition."""
+    def shifted(z: int, by: int) -> int:
+        return (z - (1 << 64) if signed and z >> 63 else z) >> by
+
+    # Multipliers and shifts of splitmix64.
+    z = x & _WORD
+    z = ((z ^ shifted(z, 30)) * 0xBF58476D1CE4E5B9) & _WORD
+    z = ((z ^ shifted(z, 27)) * 0x94D049BB133111EB) & _WORD
+    return (z ^ shifted(z, 31)) & _WORD
 
-    def __init__(self, seed: int):
-        self.state = []
-        for turn in (1, 2):
-            z = (seed + turn * self.INCREMENT) & self.WORD
-            for shift, factor in zip(self.MIX_SHIFTS, (*self.MIX, 1), strict=True):
-                z = ((z ^ (self._signed(z) >> shift)) * factor) & self.WORD
-            self.state.append(z)
 
-    @classmethod
-    def _signed(cls, z: int) -> int:
-        return z - (1 << 64) if z >> 63 else z
+class Xoroshiro128Plus:
+    """The public xoroshiro128+ generator; rotations and shift a, b, c as its versions have them."""
 
-    def _turn(self, x: int, by: int) -> int:
-        return ((x << by) | (x >> (64 - by))) & self.WORD
+    def __init__(self, s0: int, s1: int, a: int = 55, b: int = 14, c: int = 36):
+        self.s0, self.s1, self.a, self.b, self.c = s0, s1, a, b, c
 
     def draw(self) -> int:
-        first, second = self.state
-        mixed = first ^ second
-        self.state = [self._turn(first, self.ROTATIONS[0]) ^ mixed ^ ((mixed << self.SHIFT) & self.WORD), self._turn(mixed, self.ROTATIONS[1])]
-        return (first + second) & self.WORD
+        result = (self.s0 + self.s1) & _WORD
+        mixed = self.s0 ^ self.s1
+        self.s0 = _rotated(self.s0, self.a) ^ mixed ^ ((mixed << self.b) & _WORD)
+        self.s1 = _rotated(mixed, self.c)
+        return result
+
+
+class ParityStream(Xoroshiro128Plus):
+    """xoroshiro128+ (rotations 55 and 36, shift 14) seeded by two splitmix64 outputs whose shifts keep the sign."""
+
+    #: Fixed value: increment of splitmix64's state.
+    INCREMENT = 0x9E3779B97F4A7C15
+
+    def __init__(self, seed: int):
+        super().__init__(*(splitmix64(seed + turn * self.INCREMENT, signed=True) for turn in (1, 2)))
 
 
 def parity_draws(spark: SparkSession, repetitions: int, length: int) -> DataFrame:

@@ -28,10 +28,22 @@ def degree_histogram(edges: DataFrame) -> DataFrame:
     return degrees(edges).groupBy("degree").agg(F.count("*").alias("vertices"))
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """(u, idx, v, deg): the neighbors of u by id, numbered from 0."""
-    by = Window.partitionBy("src")
-    return edges.select(F.col("src").alias("u"), (F.row_number().over(by.orderBy("dst")) - 1).cast("long").alias("idx"), F.col("dst").alias("v"), F.count("*").over(by).alias("deg"))
+#: Bits of a neighbor id within a block of the neighbor numbering.
+BLOCK_BITS = 17
+
+
+def adjacency(edges: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """(u, idx, v, deg): the neighbors of u by id, numbered from 0.
+
+    Neighbors are numbered within blocks of 2 ** block_bits ids, and blocks of
+    a vertex by their counts: a hub's neighbors spread over many tasks.
+    """
+    rows = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.shiftright("dst", block_bits).alias("_b"))
+    own = Window.partitionBy("u")
+    counts = rows.groupBy("u", "_b").agg(F.count("*").alias("_c"))
+    before = counts.select("u", "_b", F.coalesce(F.sum("_c").over(own.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(own).alias("deg"))
+    numbered = rows.withColumn("_k", F.row_number().over(Window.partitionBy("u", "_b").orderBy("v")) - 1)
+    return numbered.join(before, ["u", "_b"]).select("u", (F.col("_before") + F.col("_k")).cast("long").alias("idx"), "v", "deg")
 
 
 def transitions(edges: DataFrame) -> DataFrame:
@@ -91,11 +103,17 @@ def _oriented(edges: DataFrame) -> DataFrame:
 
 
 def triangle_count(edges: DataFrame) -> DataFrame:
-    """(triangles). Wedges are made from degree-ordered edges, which bounds them by m ** 1.5."""
-    low = _oriented(edges)
-    wedges = low.alias("x").join(low.alias("y"), F.col("x.src") == F.col("y.src")).where("x.dst <> y.dst")
-    closed = wedges.select(F.col("x.dst").alias("src"), F.col("y.dst").alias("dst")).join(low, ["src", "dst"])
-    return closed.agg(F.count("*").alias("triangles"))
+    """(triangles): common out-neighbors of both ends of each degree-ordered edge.
+
+    Out-neighbors of a vertex stand in one list, whose length the ordering
+    bounds by sqrt(2m); lists meet edges by two joins, wedges aren't rows.
+    """
+    from driftwalk.plans.materialise import stored
+
+    low = stored(_oriented(stored(edges.select("src", "dst"), "triangle-edges")), "triangle-oriented")
+    lists = low.groupBy("src").agg(F.collect_list("dst").alias("out"))
+    ends = low.join(lists.select(F.col("src").alias("dst"), F.col("out").alias("far")), "dst").join(lists.select("src", F.col("out").alias("near")), "src")
+    return ends.agg(F.coalesce(F.sum(F.size(F.array_intersect("near", "far"))), F.lit(0)).cast("long").alias("triangles"))
 
 
 def common_neighbors(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -117,6 +135,28 @@ def spmv(edges: DataFrame, vector: DataFrame) -> DataFrame:
     return joined.groupBy(F.col("src").alias("vertex")).agg(F.sum("value").alias("value"))
 
 
+def count_neighbors(edges: DataFrame, predicate: Column) -> DataFrame:
+    """(vertex, n): how many neighbors (dst) of each vertex fulfil a predicate on src and dst."""
+    return edges.groupBy(F.col("src").alias("vertex")).agg(F.count_if(F.coalesce(predicate, F.lit(False))).alias("n"))
+
+
+def check_edges(edges: DataFrame) -> DataFrame:
+    """(check, violations): what an undirected graph without repeats must not hold, counted."""
+    def row(name: str, found: DataFrame) -> DataFrame:
+        return found.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
+
+    known = edges.where("src IS NOT NULL AND dst IS NOT NULL")
+    mirrored = known.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    parts = [
+        row("missing end", edges.where("src IS NULL OR dst IS NULL")), row("negative id", known.where("least(src, dst) < 0")), row("self-loop", known.where("src = dst")),
+        row("repeated edge", known.groupBy("src", "dst").agg(F.count("*").alias("n")).where("n > 1")), row("missing mirror", known.join(mirrored, ["src", "dst"], "left_anti")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(vertex, component): the smallest reachable id, for undirected edges.
 
@@ -135,7 +175,9 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
         better = labels.join(pulled, "vertex", "left").select("vertex", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
         hooks = better.where("low < component").groupBy(F.col("component").alias("vertex")).agg(F.min("low").alias("hook"))
         hooked = better.join(hooks.hint("merge"), "vertex", "left").select("vertex", "component", F.least("low", F.coalesce("hook", "low")).alias("low"))
-        jump = hooked.select(F.col("vertex").alias("low"), F.col("low").alias("jumped"))
+        # Only labels that moved are joined: few once labels are hot, so the join needn't bring their vertices together.
+        moved = hooked.where("low <> vertex").join(hooked.select(F.col("low").alias("vertex")).distinct(), "vertex", "left_semi")
+        jump = moved.select(F.col("vertex").alias("low"), F.col("low").alias("jumped"))
         after = cut(hooked.join(jump, "low", "left").select("vertex", F.coalesce("jumped", "low").alias("next"), "component"))
         if after.where("next <> component").isEmpty():
             return after.select("vertex", "component")

@@ -17,6 +17,7 @@ def corpus_rows(edges: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """(files, bytes) of a stored table; contents aren't read."""
+    """(part, files, bytes) of stored tables, a part for each folder below path; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select("length").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    part = F.element_at(F.split("path", "/"), -2)
+    return files.select(part.alias("part"), "length").groupBy("part").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))

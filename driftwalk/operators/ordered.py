@@ -10,23 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwalk.functions.rng import portable_draw
+from driftwalk.plans.materialise import cut
+
 BLOCK = 1 << 16
 
 
-def prefix_sums(seq: DataFrame, inclusive: bool = False, block: int = BLOCK) -> DataFrame:
-    """(idx, value, prefix)."""
+def prefix_sums(seq: DataFrame, inclusive: bool = False, block: int = BLOCK, backward: bool = False) -> DataFrame:
+    """(idx, value, prefix): the sum of what comes before; with backward, of what comes after."""
+    way = F.desc if backward else F.asc
     blocked = seq.withColumn("_b", F.expr(f"idx div {block}"))
     sums = blocked.groupBy("_b").agg(F.sum("value").alias("_s"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_before")
-    inner = F.sum("value").over(Window.partitionBy("_b").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy(way("_b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_before")
+    inner = F.sum("value").over(Window.partitionBy("_b").orderBy(way("idx")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = blocked.withColumn("_in", inner).join(before, "_b")
     return out.select("idx", "value", (F.col("_before") + F.col("_in") - (F.lit(0) if inclusive else F.col("value"))).alias("prefix"))
 
 
 def ranks(keys: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(key, rank): rank from 0 among distinct keys, by range partitions and their sizes."""
+    """(key, rank): rank from 0 among distinct keys, by range partitions and their sizes.
+
+    Partitions are written once: sizes and keys must come from the same ranges, whatever is retried.
+    """
     n = partitions or int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = keys.select("key").distinct().repartitionByRange(n, "key").withColumn("_p", F.spark_partition_id())
+    sorted_ = cut(keys.select("key").distinct().repartitionByRange(n, "key").withColumn("_p", F.spark_partition_id()))
     sizes = sorted_.groupBy("_p").agg(F.count("*").alias("_c"), F.min("key").alias("_lo"), F.max("key").alias("_hi"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = sorted_.withColumn("_in", F.row_number().over(Window.partitionBy("_p").orderBy("key")) - 1)
@@ -166,5 +173,116 @@ def append(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
 
 def shuffled(seq: DataFrame, seed: int) -> DataFrame:
     """A seeded permutation: the same for the same seed and rows."""
-    keyed = seq.select(F.struct(F.xxhash64(F.lit(seed), "idx"), "idx").alias("key"), "value")
+    keyed = seq.select(F.struct(portable_draw("idx", 0, seed).alias("draw"), "idx").alias("key"), "value")
     return ranks(keyed).join(keyed, "key").select(F.col("rank").alias("idx"), "value")
+
+
+def sort_values(seq: DataFrame) -> DataFrame:
+    """(idx, value): all values in order, repeats in the order they had."""
+    return ranks(seq.select(F.struct("value", "idx").alias("key"))).select(F.col("rank").alias("idx"), F.col("key.value").alias("value"))
+
+
+def merge_sorted(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(idx, value) of two sorted sequences; of equal values those of a come first.
+
+    A value's place is its own index and the number of the other's values
+    before it, which comes from their counts by value: no sort of all rows.
+    """
+    def before(side: DataFrame, inclusive: bool) -> DataFrame:
+        # Values of the side are sorted, so the first or last index of a value counts what stands before it.
+        edge = F.max("idx") + 1 if inclusive else F.min("idx")
+        return side.groupBy("value").agg(edge.cast("long").alias("n"))
+
+    def placed(own: DataFrame, other: DataFrame, inclusive: bool) -> DataFrame:
+        marks = before(other, inclusive).select("value", "n", F.lit(True).alias("_mark"))
+        # For values that the other side lacks: the count up to its largest smaller value, filled in by block maxima.
+        least = before(other, True).select("value", F.col("n").alias("upto"))
+        values = own.select("value").distinct().join(marks, "value", "left")
+        return own.join(filled(values, least), "value").select((F.col("idx") + F.col("n")).alias("idx"), "value")
+
+    def filled(values: DataFrame, least: DataFrame) -> DataFrame:
+        known = values.where("_mark").select("value", "n")
+        asked = values.where("_mark IS NULL").select("value", F.lit(0).cast("long").alias("upto"), F.lit(1).alias("ask"))
+        both = least.select("value", "upto", F.lit(0).alias("ask")).unionByName(asked)
+        order = ranks(both.select(F.struct("value", "ask").alias("key"))).select(F.col("rank").alias("idx"), F.col("key.value").alias("value"), F.col("key.ask").alias("ask"))
+        run = prefix_max(order.join(least, "value", "left").select("idx", F.when(F.col("ask") == 0, F.col("upto")).otherwise(F.lit(0)).alias("value")))
+        return known.unionByName(order.where("ask = 1").join(run, "idx").select(order["value"], F.col("prefix").alias("n")))
+
+    return placed(a, b, False).unionByName(placed(b, a, True))
+
+
+def prefix_max(seq: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(idx, prefix): the largest value up to and with each, nulls left out, by block maxima."""
+    blocked = seq.withColumn("_b", F.expr(f"idx div {block}"))
+    tops = blocked.groupBy("_b").agg(F.max("value").alias("_m"))
+    before = tops.select("_b", F.max("_m").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    inner = F.max("value").over(Window.partitionBy("_b").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return blocked.withColumn("_in", inner).join(before, "_b").select("idx", F.greatest("_before", "_in").alias("prefix"))
+
+
+def split_three(rows: DataFrame, part: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows whose part is 0, 1 and 2; others, nulls too, are an error of the caller and in none."""
+    return tuple(rows.where(part == k) for k in range(3))
+
+
+def map_filter(rows: DataFrame, value: Column) -> DataFrame:
+    """(idx, value): what an expression gives, where it gives something."""
+    return rows.select("idx", value.alias("value")).where("value IS NOT NULL")
+
+
+def occurrences(seq: DataFrame, pattern: list) -> DataFrame:
+    """(idx): where a pattern (a list on the driver) begins as consecutive values.
+
+    A value votes for each beginning that its places in the pattern allow.
+    """
+    places: dict = {}
+    for k, x in enumerate(pattern):
+        places.setdefault(x, []).append(k)
+    if not places:
+        return seq.select("idx")
+    where = F.create_map(*(F.lit(y) for x, ks in places.items() for y in (x, ks)))
+    votes = seq.where(F.col("value").isin(list(places))).select("idx", F.explode(where[F.col("value")]).alias("_k")).select((F.col("idx") - F.col("_k")).alias("idx"))
+    return votes.groupBy("idx").agg(F.count("*").alias("n")).where(F.col("n") == len(pattern)).select("idx")
+
+
+def search(seq: DataFrame, pattern: list) -> DataFrame:
+    """(first_index, last_index) at which a pattern begins, nulls where it doesn't occur."""
+    return occurrences(seq, pattern).agg(F.min("idx").alias("first_index"), F.max("idx").alias("last_index"))
+
+
+def adjacent_find(seq: DataFrame) -> DataFrame:
+    """(first_index): of the first value that is equal to its follower."""
+    after = seq.select((F.col("idx") - 1).alias("idx"), F.col("value").alias("_next"))
+    return seq.join(after, "idx").where(F.col("value") == F.col("_next")).agg(F.min("idx").alias("first_index"))
+
+
+def compare(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(mismatch, equal, less): the first index at which two sequences differ or one has ended, and how a stands to b."""
+    left, right = (s.select("idx", F.col("value").alias(f"_{n}"), F.lit(True).alias(f"_has_{n}")) for s, n in ((a, "a"), (b, "b")))
+    differ = left.join(right, "idx", "full_outer").where(F.col("_has_a").isNull() | F.col("_has_b").isNull() | ~F.col("_a").eqNullSafe(F.col("_b")))
+    first = differ.agg(F.min(F.struct("idx", (F.col("_has_a").isNull() | F.coalesce(F.col("_a") < F.col("_b"), F.lit(False))).alias("less"))).alias("m"))
+    return first.select(F.col("m.idx").alias("mismatch"), F.col("m").isNull().alias("equal"), F.coalesce("m.less", F.lit(False)).alias("less"))
+
+
+def is_partitioned(seq: DataFrame, predicate: Column) -> DataFrame:
+    """(partitioned): whether no value that fulfils a predicate stands after one that doesn't."""
+    fits = F.coalesce(predicate, F.lit(False))
+    ends = seq.agg(F.max(F.when(fits, F.col("idx"))).alias("last"), F.min(F.when(~fits, F.col("idx"))).alias("first"))
+    return ends.select(F.coalesce(F.col("last") < F.col("first"), F.lit(True)).alias("partitioned"))
+
+
+def extreme_positions(seq: DataFrame) -> DataFrame:
+    """(min_index, min_value, max_index, max_value), ties to the first index."""
+    low, high = F.min(F.struct("value", "idx")), F.max(F.struct("value", (-F.col("idx")).alias("back")))
+    return seq.where("value IS NOT NULL").agg(low.alias("l"), high.alias("h")).select(F.col("l.idx").alias("min_index"), F.col("l.value").alias("min_value"), (-F.col("h.back")).alias("max_index"), F.col("h.value").alias("max_value"))
+
+
+def approximate_kth(values: DataFrame, k: int, accuracy: int = 10_000) -> DataFrame:
+    """(value): the k-th smallest from 0, its rank off by at most the n-th part of the rows, n = accuracy; one pass, one sketch."""
+    n = values.count()
+    return values.agg(F.percentile_approx("value", F.lit(min(1.0, (k + 1) / max(1, n))), accuracy).alias("value"))
+
+
+def augmented_filter(pairs: DataFrame, limit) -> DataFrame:
+    """Entries whose own contribution to the maximum is above a limit: what pruning by subtree maxima leaves."""
+    return pairs.where(F.col("value") > limit)

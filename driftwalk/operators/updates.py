@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwalk.config import WalkConfig
-from driftwalk.operators.graph import clean_batch, degrees, edge_difference, edge_union
+from driftwalk.operators.graph import clean_batch
 from driftwalk.operators.walks import STEP_COLUMNS, WalkGraph, as_steps, generate, id_domain, initial_walkers, run_walkers, starts_of
-from driftwalk.plans.materialise import cut
+from driftwalk.plans.materialise import cut, stored
 
 
 def affected_walks(live: DataFrame, batch: DataFrame, number: int) -> DataFrame:
@@ -29,16 +29,15 @@ def with_reset(mav: DataFrame, edges_after: DataFrame, starts: DataFrame) -> Dat
 
     starts: (walk_id, vertex) of position 0.
     """
-    deg = degrees(edges_after).select("vertex", "degree")
+    deg = edges_after.select(F.col("src").alias("vertex")).distinct().withColumn("degree", F.lit(1))
     first = starts.select("walk_id", F.col("vertex").alias("start"))
     joined = mav.join(deg, "vertex", "left").join(first, "walk_id", "left")
     reset = F.col("degree").isNull()
     return joined.select("batch", "walk_id", F.when(reset, 0).otherwise(F.col("p_min")).cast("int").alias("p_min"), F.when(reset, F.col("start")).otherwise(F.col("vertex")).alias("vertex"), reset.alias("reset"))
 
 
-def resample(mav: DataFrame, live: DataFrame, edges_after: DataFrame, config: WalkConfig, number: int) -> DataFrame:
+def resample(mav: DataFrame, live: DataFrame, graph: WalkGraph, config: WalkConfig, number: int) -> DataFrame:
     """Fresh steps from p_min on, drawn with the batch number in the key so that old suffixes aren't replayed."""
-    graph = WalkGraph(edges_after)
     starts = mav.select("walk_id", "vertex", F.col("p_min").alias("p0"))
     if config.model == "node2vec":
         before = live.select("walk_id", (F.col("pos") + 1).alias("p0"), F.col("vertex").alias("prev"))
@@ -70,6 +69,58 @@ def compact(steps: DataFrame, mav: DataFrame, completed: int) -> tuple[DataFrame
     return live_steps(steps, mav.where(F.col("batch") <= completed)), mav.where(F.col("batch") > completed)
 
 
+def compact_vertices(steps: DataFrame, mav: DataFrame, vertices: DataFrame, completed: int) -> DataFrame:
+    """steps without those at some vertices(vertex) that batches up to `completed` made stale; all else stays, mav too.
+
+    A partial compaction: readers that keep mav see the same corpus.
+    """
+    inside = steps.join(vertices.select("vertex").distinct(), "vertex", "left_semi").select(*STEP_COLUMNS)
+    outside = steps.join(vertices.select("vertex").distinct(), "vertex", "left_anti").select(*STEP_COLUMNS)
+    return outside.unionByName(live_steps(inside, mav.where(F.col("batch") <= completed)))
+
+
+def compact_with_ranges(steps: DataFrame, mav: DataFrame, completed: int) -> tuple[DataFrame, DataFrame]:
+    """(steps after a last compaction, (vertex, next_min, next_max) of its live steps)."""
+    from driftwalk.operators.lookup import next_ranges
+
+    left = compact(steps, mav, completed)[0]
+    return left, next_ranges(left)
+
+
+def compact_by_position(steps: DataFrame, mav: DataFrame, length: int, completed: int) -> DataFrame:
+    """As compact, by the positions of the invalidated suffixes one by one: equi-joins on (walk_id, pos) alone.
+
+    For each position the latest batch that invalidates it decides, so a walk
+    that many batches hit has no more than `length` rows.
+    """
+    last = mav.where(F.col("batch") <= completed).select("walk_id", F.col("batch").alias("_b"), F.explode(F.sequence("p_min", F.greatest(F.lit(length - 1), F.col("p_min")))).alias("pos"))
+    last = last.groupBy("walk_id", "pos").agg(F.max("_b").alias("_b"))
+    joined = steps.join(last, ["walk_id", "pos"], "left")
+    return joined.where(F.col("_b").isNull() | (F.col("_b") <= F.col("batch"))).select(*STEP_COLUMNS)
+
+
+def check_corpus(corpus: "Corpus") -> DataFrame:
+    """(check, violations): what a consistent corpus must not hold, counted."""
+    live, edges = corpus.live, corpus.edges
+    follow = live.select("walk_id", (F.col("pos") - 1).alias("pos"), F.col("vertex").alias("_then"))
+    pairs = live.join(follow, ["walk_id", "pos"], "left")
+    known = edges.select(F.col("src").alias("vertex"), F.col("dst").alias("next"))
+    first = live.where("pos = 0").select("walk_id", F.col("vertex").alias("_v"))
+    parts = {
+        "repeated position": live.groupBy("walk_id", "pos").agg(F.count("*").alias("n")).where("n > 1"),
+        "gap in a walk": live.groupBy("walk_id").agg(F.count("*").alias("n"), F.max("pos").alias("m")).where("n <> m + 1"),
+        "step without an edge": live.where("vertex <> next").join(known, ["vertex", "next"], "left_anti"),
+        "next is not the next vertex": pairs.where("_then IS NOT NULL AND next <> _then"),
+        "walk ends at a vertex with edges": pairs.where((F.col("_then").isNull()) & (F.col("pos") < corpus.config.length - 1)).join(edges.select(F.col("src").alias("vertex")), "vertex", "left_semi"),
+        "walk doesn't begin at its start": corpus.starts.join(first, "walk_id", "left").where("_v IS NULL OR _v <> vertex"),
+    }
+    out = None
+    for name, found in parts.items():
+        row = found.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def affected_fraction(mav: DataFrame, starts: DataFrame) -> DataFrame:
     """(batch, affected, walks, per_mille)."""
     walks = starts.agg(F.count("*").alias("walks"))
@@ -93,12 +144,24 @@ def extend(starts: DataFrame, edges_after: DataFrame) -> DataFrame:
     return numbered.join(F.broadcast(top)).select((F.col("_top") + F.col("_before") + F.col("_k")).alias("walk_id"), "vertex")
 
 
+@dataclass(frozen=True)
+class Change:
+    """What a batch changes: edges(src, dst, present), and the rows it adds to mav, steps and starts."""
+
+    number: int
+    edges: DataFrame
+    mav: DataFrame | None
+    steps: DataFrame | None
+    starts: DataFrame | None
+
+
 @dataclass(frozen=True)
 class Corpus:
     """A graph version with its walks: edges, steps (base and deltas), mav, starts, last batch.
 
-    Each batch's own rows (mav, fresh steps, edges) are materialised once, so
-    the plan of a later batch doesn't repeat the earlier ones.
+    Each batch's own rows (changed edges, mav, fresh steps) are materialised
+    once, so the plan of a later batch doesn't repeat the earlier ones.
+    changes has them by batch, for stores that keep deltas.
     """
 
     edges: DataFrame
@@ -107,34 +170,44 @@ class Corpus:
     starts: DataFrame
     batch: int
     config: WalkConfig
+    changes: tuple[Change, ...] = field(default=())
 
     @property
     def live(self) -> DataFrame:
         return live_steps(self.steps, self.mav)
 
     def apply(self, batch: DataFrame, delete: bool = False, update_walks: bool = True) -> tuple["Corpus", DataFrame]:
-        """(corpus after the batch, its affected walks). With update_walks false only the graph changes."""
+        """(corpus after the batch, its affected walks). With update_walks false only the graph changes.
+
+        The batch is set against the edges once; the edges themselves aren't written.
+        """
         number = self.batch + 1
-        after = cut(edge_difference(self.edges, batch) if delete else edge_union(self.edges, batch))
-        live = self.live
-        mav = cut(with_reset(affected_walks(live, batch, number), after, self.starts))
+        known = ["src", "dst"]
+        changed = cut(clean_batch(batch).join(self.edges, known, "left_semi" if delete else "left_anti"))
+        after = self.edges.join(changed, known, "left_anti") if delete else self.edges.select(*known).unionByName(changed)
+        edge_change = changed.withColumn("present", F.lit(not delete))
         if not update_walks:
-            return Corpus(after, self.steps, self.mav, self.starts, self.batch, self.config), mav.limit(0)
-        fresh = resample(mav, live, after, self.config, number)
-        mavs, starts = self.mav.unionByName(mav), self.starts
+            change = Change(number, edge_change, None, None, None)
+            return Corpus(after, self.steps, self.mav, self.starts, self.batch, self.config, (*self.changes, change)), self.mav.limit(0)
+        live, graph = self.live, WalkGraph(after)
+        mav = cut(with_reset(affected_walks(live, batch, number), graph.edges, self.starts))
+        fresh, starts, new = resample(mav, live, graph, self.config, number), self.starts, None
         if not delete:
-            new, graph = cut(extend(starts, after)), WalkGraph(after)
+            new = cut(extend(starts, graph.edges))
             fresh = fresh.unionByName(as_steps(run_walkers(graph, initial_walkers(graph, new, self.config, number), self.config), self.config))
             starts = starts.unionByName(new)
-        steps = self.steps.unionByName(cut(fresh))
+        fresh = cut(fresh)
+        steps, mavs = self.steps.unionByName(fresh), self.mav.unionByName(mav)
         if number % self.config.merge_frequency == 0:
             steps, mavs = compact(steps, mavs, number)
-        return Corpus(after, steps, mavs, starts, number, self.config), mav
+        change = Change(number, edge_change, mav, fresh, new)
+        return Corpus(graph.edges, steps, mavs, starts, number, self.config, (*self.changes, change)), mav
 
 
 MAV_SCHEMA = "batch int, walk_id long, p_min int, vertex long, reset boolean"
 
 
 def new_corpus(edges: DataFrame, config: WalkConfig, vertices: DataFrame | None = None) -> Corpus:
+    edges = stored(edges.select("src", "dst"), "corpus-edges")
     vertices = id_domain(edges) if vertices is None else vertices
     return Corpus(edges, cut(generate(edges, config, vertices)), edges.sparkSession.createDataFrame([], MAV_SCHEMA), starts_of(vertices, config.walks_per_vertex), 0, config)

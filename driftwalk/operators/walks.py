@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftwalk.config import WalkConfig
 from driftwalk.functions.rng import portable_draw
 from driftwalk.operators.graph import degrees, transitions
-from driftwalk.plans.materialise import cut
+from driftwalk.plans.materialise import cut, stored
 
 STEP_COLUMNS = ["walk_id", "pos", "vertex", "next", "batch"]
 # Purposes of draws: added to the seed so that one hop's draws are independent.
@@ -25,11 +25,14 @@ class WalkModel(Protocol):
 
 
 class WalkGraph:
-    """The tables that a hop joins: transitions, edges and degrees of one graph version."""
+    """The tables that a hop joins: transitions, edges and degrees of one graph version.
+
+    Edges are stored once: however they are derived, each hop would else do so anew.
+    """
 
     def __init__(self, edges: DataFrame):
-        self.edges = edges.select("src", "dst")
-        self.hops = transitions(self.edges)
+        self.edges = stored(edges.select("src", "dst"), "graph-edges")
+        self.hops = stored(transitions(self.edges), "graph-hops")
         self.degrees = degrees(self.edges)
 
 
@@ -182,15 +185,21 @@ def id_domain(edges: DataFrame, partitions: int | None = None) -> DataFrame:
 def generate(edges: DataFrame, config: WalkConfig, vertices: DataFrame | None = None, batch: int = 0) -> DataFrame:
     """The whole corpus as steps: walks_per_vertex walks from each id."""
     graph = WalkGraph(edges)
-    starts = starts_of(id_domain(edges) if vertices is None else vertices, config.walks_per_vertex)
+    starts = starts_of(id_domain(graph.edges) if vertices is None else vertices, config.walks_per_vertex)
     return as_steps(run_walkers(graph, initial_walkers(graph, starts, config, batch), config), config)
 
 
+def previously_sampled(walkers: DataFrame, samplers: DataFrame) -> DataFrame:
+    """walkers(cur, prev, ...) with last: the last sample of the chain of their state, from samplers(prev, cur, last)."""
+    return walkers.join(samplers.select("prev", "cur", "last"), ["prev", "cur"], "left").select(*walkers.columns, "last")
+
+
 def generate_parity(edges: DataFrame, config: WalkConfig) -> DataFrame:
     """First-order corpus drawn from one seeded stream per repetition: draw k serves hop k of all its walks."""
     from driftwalk.functions.rng import parity_draws
 
-    graph, domain = WalkGraph(edges), id_domain(edges)
+    graph = WalkGraph(edges)
+    domain = id_domain(graph.edges)
     draws = F.broadcast(parity_draws(edges.sparkSession, config.walks_per_vertex, config.length))
     n = domain.select("n").first()
     starts = starts_of(domain, config.walks_per_vertex).withColumn("rep", F.floor((F.col("walk_id") - F.col("vertex")) / F.lit(max(1, n[0] if n else 1))).cast("long"))

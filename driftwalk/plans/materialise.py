@@ -2,20 +2,61 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_serial = itertools.count()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, a folder of this machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or (spark.sparkContext.getCheckpointDir())
+    """spark.checkpoint.dir of the session.
+
+    Only where it is unset and all tasks run in this process (master local), a
+    folder of this machine; on a cluster an unset folder is an error.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="driftwalk-")
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, below one folder for each application."""
+    return f"{shared_dir(spark)}/driftwalk-{spark.sparkContext.applicationId}/{name}-{next(_serial)}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: computed once, safe from lost executors."""
+    at = folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, whatever file system it is on; none if it isn't there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in system.listStatus(where)) if system.exists(where) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, whatever file system it is on."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that this application has stored; DataFrames that read it can't be used any more."""
+    remove(spark, f"{shared_dir(spark)}/driftwalk-{spark.sparkContext.applicationId}")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept by checkpoint() where lost executors don't matter."""
     spark = df.sparkSession

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from driftwalk.config import WalkConfig
 from driftwalk.functions.rng import BATCH_STEP, HOP_STEP, MODULUS, MULTIPLIER, SCRAMBLE
+from driftwalk.plans.materialise import stored
 from driftwalk.operators.walks import WalkGraph, as_steps, generate, id_domain, initial_walkers, run_walkers, starts_of
 
 
@@ -22,10 +23,11 @@ def fits_broadcast(edges: DataFrame, config: WalkConfig) -> bool:
 
 def compressed_rows(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, offsets, targets), sorted; only for graphs that fits_broadcast() has admitted."""
-    pairs = edges.select("src", "dst").toPandas().to_numpy(dtype=np.int64).reshape(-1, 2)
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    ids, first = np.unique(pairs[:, 0], return_index=True)
-    return ids, np.append(first, len(pairs)), pairs[:, 1].copy()
+    table = edges.select("src", "dst").toArrow()
+    src, dst = (table.column(c).to_numpy().astype(np.int64) for c in ("src", "dst"))
+    order = np.lexsort((dst, src))
+    ids, first = np.unique(src[order], return_index=True)
+    return ids, np.append(first, len(src)), dst[order]
 
 
 def _walk_batch(walk_id, vertex, ids, offsets, targets, length, seed, batch):
@@ -48,10 +50,15 @@ def _walk_batch(walk_id, vertex, ids, offsets, targets, length, seed, batch):
 
 
 def generate_broadcast(edges: DataFrame, config: WalkConfig, batch: int = 0) -> DataFrame:
-    """First-order corpus: all hops of a walker in one task, without a shuffle."""
+    """First-order corpus: all hops of a walker in one task, without a shuffle.
+
+    Raises ValueError for a graph of more than config.broadcast_edges edges.
+    """
     if config.model != "deepwalk":
         raise ValueError("the broadcast kernel walks first-order models")
-    spark = edges.sparkSession
+    spark, edges = edges.sparkSession, stored(edges.select("src", "dst"), "broadcast-edges")
+    if not fits_broadcast(edges, config):
+        raise ValueError(f"more than {config.broadcast_edges} edges")
     held = spark.sparkContext.broadcast(compressed_rows(edges))
     length, seed = config.length, config.seed
 
@@ -68,6 +75,8 @@ def generate_broadcast(edges: DataFrame, config: WalkConfig, batch: int = 0) ->
 
 
 def generate_auto(edges: DataFrame, config: WalkConfig) -> DataFrame:
+    """By the kernel where the model and the size of the graph allow, else by joins."""
+    edges = stored(edges.select("src", "dst"), "counted-edges")
     if config.model == "deepwalk" and fits_broadcast(edges, config):
         return generate_broadcast(edges, config)
     return generate(edges, config)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -95,23 +96,72 @@ def write_byte_graph(adjacency: dict[int, list[int]], n: int) -> bytes:
 
 
 def read_byte_graph(spark: SparkSession, path: str, parts: int = 8) -> DataFrame:
-    """edges(src, dst). A file is read by one task, its vertex ranges are decoded by `parts` tasks a file."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    slices = files.select("content", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    """edges(src, dst) of byte graph files, a file's vertices in `parts` ranges.
 
-    def decode(frames):
+    One task a file cuts it into ranges of about equal bytes, each with its
+    own offsets, degrees and codes alone; ranges are decoded by tasks of their
+    own. A file must fit one row of the binary source (2 GB). Raises
+    ValueError if the degrees don't add up to the number of edges.
+    """
+    def cut_up(frames):
         for frame in frames:
-            for data, part in zip(frame["content"], frame["part"], strict=True):
-                n, m, _ = struct.unpack_from("<3q", data)
-                offsets = struct.unpack_from(f"<{n + 1}q", data, 24)
-                degs = struct.unpack_from(f"<{n}q", data, 24 + 8 * (n + 1))
-                if sum(degs) != m:
+            for data in frame["content"]:
+                n, m, total = struct.unpack_from("<3q", data)
+                offsets = np.frombuffer(data, "<i8", n + 1, 24)
+                degs = np.frombuffer(data, "<i8", n, 24 + 8 * (n + 1))
+                if degs.sum() != m:
                     raise ValueError("degrees don't add up to the number of edges")
                 base = 24 + 8 * (2 * n + 1)
-                rows = [(v, w) for v in range(n * part // parts, n * (part + 1) // parts) for w in decode_neighbors(v, degs[v], data, base + offsets[v])]
-                yield pd.DataFrame(rows, columns=["src", "dst"], dtype="int64")
+                cuts = np.unique(np.append(np.searchsorted(offsets[:n], np.arange(parts) * total // parts), n))
+                cuts[0] = 0
+                for low, high in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                    yield pd.DataFrame({"first": [low], "offsets": [(offsets[low:high] - offsets[low]).tobytes()], "degrees": [degs[low:high].tobytes()], "codes": [data[base + int(offsets[low]) : base + int(offsets[high])]]})
+
+    def decode(frames):
+        for frame in frames:
+            for first, offsets, degs, codes in zip(*(frame[c] for c in ("first", "offsets", "degrees", "codes")), strict=True):
+                at, deg = np.frombuffer(offsets, "<i8").tolist(), np.frombuffer(degs, "<i8").tolist()
+                for low in range(0, len(at), 10_000):
+                    rows = [(first + v, w) for v in range(low, min(len(at), low + 10_000)) for w in decode_neighbors(first + v, deg[v], codes, at[v])]
+                    yield pd.DataFrame(rows, columns=["src", "dst"], dtype="int64")
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    ranges = files.mapInPandas(cut_up, "first long, offsets binary, degrees binary, codes binary")
+    return ranges.repartition(parts).mapInPandas(decode, "src long, dst long")
 
-    return slices.mapInPandas(decode, "src long, dst long")
+
+def write_byte_files(edges: DataFrame, path: str) -> None:
+    """edges as one byte graph file in the folder `path`, neighbors encoded by the executors.
+
+    The format has one header for all, so one writer appends the codes in the
+    order of the vertices; it reads them partition by partition.
+    """
+    from driftwalk.plans.materialise import stored
+
+    spark = edges.sparkSession
+
+    def encode(frames):
+        for frame in frames:
+            codes = [encode_neighbors(v, sorted(int(x) for x in neighbors)) for v, neighbors in zip(frame["src"], frame["out"], strict=True)]
+            yield pd.DataFrame({"src": frame["src"], "degree": frame["out"].map(len), "code": codes})
+
+    lists = edges.groupBy("src").agg(F.collect_list("dst").alias("out")).mapInPandas(encode, "src long, degree long, code binary")
+    coded = stored(lists.repartitionByRange("src").sortWithinPartitions("src"), "byte-codes")
+    n = (edges.agg(F.max(F.greatest("src", "dst"))).first()[0] or -1) + 1
+    degrees, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for row in coded.select("src", "degree", F.length("code").alias("size")).toLocalIterator():
+        degrees[row.src], sizes[row.src] = row.degree, row.size
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/graph.bytes")
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(struct.pack("<3q", n, int(degrees.sum()), int(sizes.sum())) + np.append(0, np.cumsum(sizes)).astype("<i8").tobytes() + degrees.astype("<i8").tobytes()))
+    held = bytearray()
+    for row in coded.orderBy("src").select("code").toLocalIterator():
+        held += row.code
+        if len(held) > 1 << 20:
+            out.write(held)
+            held = bytearray()
+    out.write(held)
+    out.close()
 
 
 def load_graph(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
