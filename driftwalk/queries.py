@@ -7,6 +7,7 @@ tables of sf_dir. Both are filled by the functions below, group by group.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from driftwalk.config import WalkConfig
 from driftwalk.functions.pairing import decode_step, encode_step, pair, pair_triplet, unpair, unpair_triplet
 from driftwalk.functions.rng import hashed_draw, portable_draw_sql
-from driftwalk.operators import embeddings, graph, lookup, metrics, ordered, updates, walks
+from driftwalk.operators import embeddings, graph, lookup, metrics, ordered, suffixes, updates, walks
 from driftwalk.plans import strategy
+from driftwalk.plans.materialise import folder, stored
 from driftwalk.sources import graph_files, rmat, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,9 +108,9 @@ def _has_edge(spark, sf):
     return graph.has_edge(asked, _edges(spark, sf))
 
 
-@query("k_hop_frontier", f"WITH {PAIRS}, {_mirror('e', "dt < TIMESTAMP '1995-02-01'")}, h0 AS (SELECT 0::BIGINT vertex), h1 AS (SELECT DISTINCT dst vertex FROM e WHERE src IN (SELECT vertex FROM h0)), h2 AS (SELECT DISTINCT dst vertex FROM e WHERE src IN (SELECT vertex FROM h1)), h3 AS (SELECT DISTINCT dst vertex FROM e WHERE src IN (SELECT vertex FROM h2)), u AS (SELECT vertex, 0 hop FROM h0 UNION ALL SELECT vertex, 1 FROM h1 UNION ALL SELECT vertex, 2 FROM h2 UNION ALL SELECT vertex, 3 FROM h3) SELECT vertex, min(hop)::INTEGER hop FROM u GROUP BY 1")
+@query("k_hop_frontier", f"WITH {ALL}, h0 AS (SELECT 0::BIGINT vertex), h1 AS (SELECT DISTINCT dst vertex FROM e WHERE src IN (SELECT vertex FROM h0)), h2 AS (SELECT DISTINCT dst vertex FROM e WHERE src IN (SELECT vertex FROM h1)), h3 AS (SELECT DISTINCT dst vertex FROM e WHERE src IN (SELECT vertex FROM h2)), u AS (SELECT vertex, 0 hop FROM h0 UNION ALL SELECT vertex, 1 FROM h1 UNION ALL SELECT vertex, 2 FROM h2 UNION ALL SELECT vertex, 3 FROM h3) SELECT vertex, min(hop)::INTEGER hop FROM u GROUP BY 1")
 def _k_hop(spark, sf):
-    return graph.k_hop(tables.tripartite_edges(spark, sf, "1995-02-01"), spark.range(1).select(F.col("id").alias("vertex")), 3)
+    return graph.k_hop(stored(_edges(spark, sf), "hop-edges"), spark.range(1).select(F.col("id").alias("vertex")), 3)
 
 
 @query("edge_map_sparse", f"WITH {ALL} SELECT DISTINCT dst vertex FROM e WHERE src < 30 AND dst % 3 = 2")
@@ -120,11 +122,11 @@ query("vertex_map_subset", f"WITH {ALL}, g AS (SELECT src vertex, count(*) degre
 query("edge_union", f"WITH {PAIRS}, {_mirror('a0', "dt < TIMESTAMP '2001-01-01'")}, {_month('b0', 1)} SELECT src, dst FROM a0 UNION SELECT src, dst FROM b0")(lambda s, d: graph.edge_union(_base(s, d), tables.month_batch(s, d, 1)))
 query("edge_difference", f"WITH {PAIRS}, {_mirror('a0', "dt < TIMESTAMP '2001-01-01'")}, {_month('b0', 1, True)} SELECT src, dst FROM a0 EXCEPT SELECT src, dst FROM b0")(lambda s, d: graph.edge_difference(_base(s, d), tables.month_batch(s, d, 1, True)))
 query("batch_runs_by_source", f"WITH {PAIRS}, {_month('b0', 2)} SELECT src, count(*) run_length, min(dst) first_dst, max(dst) last_dst FROM b0 GROUP BY 1")(lambda s, d: graph.batch_runs(tables.month_batch(s, d, 2)))
-query("neighbor_intersection_count", f"WITH {PAIRS}, {_mirror('e')}, {_month('q', 8)} SELECT q.src, q.dst, count(y.src) common FROM q LEFT JOIN e x ON x.src = q.src LEFT JOIN e y ON y.src = q.dst AND y.dst = x.dst GROUP BY 1, 2")(lambda s, d: graph.common_neighbors(tables.month_batch(s, d, 8), _edges(s, d)))
+query("neighbor_intersection_count", f"WITH {ALL} SELECT q.src, q.dst, count(y.src) common FROM e q LEFT JOIN e x ON x.src = q.src LEFT JOIN e y ON y.src = q.dst AND y.dst = x.dst GROUP BY 1, 2")(lambda s, d: graph.common_neighbors(e := stored(_edges(s, d), "intersection-edges"), e))
 query("triangle_count", f"WITH {BASE} SELECT count(*) // 6 triangles FROM e x JOIN e y ON x.dst = y.src JOIN e z ON z.src = y.dst AND z.dst = x.src")(lambda s, d: graph.triangle_count(_base(s, d)))
 query("spmv", f"WITH {ALL} SELECT src vertex, sum(dst % 7 + 1)::BIGINT \"value\" FROM e GROUP BY 1")(lambda s, d: graph.spmv(_edges(s, d), walks.id_domain(_edges(s, d)).select("vertex", (F.col("vertex") % 7 + 1).alias("value"))))
-query("connected_components", f"WITH RECURSIVE {PAIRS}, {_mirror('e', "dt < TIMESTAMP '1995-01-03'")}, r(vertex, low) AS (SELECT src, src FROM e UNION SELECT e.dst, r.low FROM r JOIN e ON e.src = r.vertex WHERE r.low < e.dst) SELECT vertex, min(low) component FROM r GROUP BY 1")(
-    lambda s, d: graph.components(e := tables.tripartite_edges(s, d, "1995-01-03"), e.select(F.col("src").alias("vertex")))
+query("connected_components", f"WITH RECURSIVE {ALL}, r(vertex, component) USING KEY (vertex) AS (SELECT DISTINCT src, src FROM e UNION (SELECT e.dst, min(r.component) FROM r JOIN e ON e.src = r.vertex JOIN recurring.r k ON k.vertex = e.dst WHERE r.component < k.component GROUP BY 1)) SELECT vertex, component FROM r")(
+    lambda s, d: graph.components(e := stored(_edges(s, d), "component-edges"), e.select(F.col("src").alias("vertex")))
 )
 
 
@@ -159,11 +161,11 @@ def _unpair(spark, sf):
     return tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("z")).select("z", x.alias("x"), y.alias("y"))
 
 
-@query("szudzik_triplet", "SELECT l_orderkey a, l_linenumber::BIGINT b, l_suppkey c, TRUE same FROM lineitem")
+@query("szudzik_triplet", f"SELECT a, b, c, {PAIRED.format(x='ab', y='c')} t, TRUE same FROM (SELECT l_orderkey a, l_linenumber::BIGINT b, l_suppkey c, {PAIRED.format(x='l_orderkey', y='l_linenumber::BIGINT')} ab FROM lineitem)")
 def _triplet(spark, sf):
     rows = tables.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_linenumber").cast("long").alias("b"), F.col("l_suppkey").alias("c"))
     x, y, z = unpair_triplet("t")
-    return rows.withColumn("t", pair_triplet("a", "b", "c")).select("a", "b", "c", ((x == F.col("a")) & (y == F.col("b")) & (z == F.col("c"))).alias("same"))
+    return rows.withColumn("t", pair_triplet("a", "b", "c")).select("a", "b", "c", "t", ((x == F.col("a")) & (y == F.col("b")) & (z == F.col("c"))).alias("same"))
 
 
 # ---------------------------------------------------------------- walks
@@ -175,7 +177,7 @@ def deepwalk_steps(spark, sf):
 
 @query("deepwalk_broadcast", SQL["deepwalk_steps"])
 def _broadcast(spark, sf):
-    return strategy.generate_broadcast(tables.bipartite_edges(spark, sf), DEEP)
+    return strategy.generate_auto(tables.bipartite_edges(spark, sf), DEEP)
 
 
 @query("deepwalk_multi_rep", f"WITH RECURSIVE {ALL}, {_adj()}, {_starts(reps=3)}, s0 AS (SELECT walk_id, 0 p0, vertex FROM st), {_walk('w', 's0', 'adj', 5, 7)} SELECT {STEP_OUT} FROM w")
@@ -218,13 +220,13 @@ def _live0(spark, sf):
 
 query("walk_paths_text", f"WITH RECURSIVE {BASE}, {_w0()} SELECT walk_id, string_agg(vertex::VARCHAR, '>' ORDER BY pos) path_text FROM w GROUP BY 1")(lambda s, d: lookup.walk_paths(_live0(s, d)).select("walk_id", F.array_join(F.col("path").cast("array<string>"), ">").alias("path_text")))
 query("walk_string", f"WITH RECURSIVE {BASE}, {_w0()} SELECT walk_id, string_agg(vertex::VARCHAR, ' ' ORDER BY pos) || ' ' walk FROM w GROUP BY 1")(lambda s, d: lookup.walk_strings(_live0(s, d)))
-query("find_next", f"WITH RECURSIVE {BASE}, {_w0()} SELECT walk_id, pos::INTEGER pos, vertex, \"next\" FROM w WHERE pos = 2 AND walk_id % 5 = 0")(lambda s, d: lookup.find_next(x := _live0(s, d), x.where("pos = 2 AND walk_id % 5 = 0").select("walk_id", "pos", "vertex")))
+query("find_next", f"WITH RECURSIVE {BASE}, {_w0()} SELECT walk_id, pos::INTEGER pos, vertex, \"next\" FROM w")(lambda s, d: lookup.find_next(x := stored(_live0(s, d), "steps"), x.select("walk_id", "pos", "vertex")))
 
 
-@query("find_next_in_range", f"WITH RECURSIVE {BASE}, {_w0()} SELECT walk_id, pos::INTEGER pos, vertex, \"next\" FROM w WHERE pos = 3 AND walk_id % 7 = 0")
+@query("find_next_in_range", f"WITH RECURSIVE {BASE}, {_w0()} SELECT walk_id, pos::INTEGER pos, vertex, \"next\" FROM w")
 def _in_range(spark, sf):
-    live = _live0(spark, sf)
-    return lookup.find_next_in_range(live, lookup.next_ranges(live), live.where("pos = 3 AND walk_id % 7 = 0").select("walk_id", "pos", "vertex"), LENGTH)
+    coded = stored(lookup.coded_steps(_live0(spark, sf), LENGTH), "coded-steps")
+    return lookup.find_next_in_range(coded, lookup.next_ranges(coded), coded.select("walk_id", "pos", "vertex"), LENGTH)
 
 
 @query("step_encoding", f"WITH RECURSIVE {BASE}, {_w0()} SELECT walk_id, pos::INTEGER pos, \"next\", {PAIRED.format(x=f'(walk_id * {LENGTH} + pos)', y='"next"')} code, TRUE same FROM w")
@@ -275,6 +277,9 @@ query("delete_batch_live", f"{DELETE_SQL} SELECT {STEP_OUT} FROM live")(lambda s
 LAZY = WalkConfig(length=LENGTH, merge_frequency=1000)
 query("stale_triplets", f"{INSERT_SQL} SELECT {STEP_OUT.replace('walk_id', 'w.walk_id').replace('batch::INTEGER batch', 'w.batch::INTEGER batch').replace('vertex,', 'w.vertex,')} FROM w JOIN m ON m.walk_id = w.walk_id WHERE w.pos >= m.p_min")(lambda s, d: updates.stale_steps((c := _corpus(s, d, LAZY).apply(tables.month_batch(s, d, 1))[0]).steps, c.mav))
 query("merge_compaction", f"{INSERT_SQL} SELECT {STEP_OUT} FROM live")(lambda s, d: updates.compact((c := _corpus(s, d, LAZY).apply(tables.month_batch(s, d, 1))[0]).steps, c.mav, 1)[0])
+query("merge_partial", f"{INSERT_SQL}, x AS (SELECT w.* FROM w LEFT JOIN m ON m.walk_id = w.walk_id WHERE m.p_min IS NULL OR w.pos < m.p_min OR w.vertex NOT IN (SELECT src FROM b1) UNION ALL SELECT * FROM mw) SELECT {STEP_OUT} FROM x")(lambda s, d: updates.compact_vertices((c := _corpus(s, d, LAZY).apply(b := stored(tables.month_batch(s, d, 1), "batch"))[0]).steps, c.mav, b.select(F.col("src").alias("vertex")), 1))
+query("merge_last_ranges", f"{INSERT_SQL} SELECT vertex, min(\"next\") next_min, max(\"next\") next_max FROM live GROUP BY 1")(lambda s, d: updates.compact_with_ranges((c := _corpus(s, d, LAZY).apply(tables.month_batch(s, d, 1))[0]).steps, c.mav, 1)[1])
+query("merge_by_position", f"{INSERT_SQL} SELECT {STEP_OUT} FROM live")(lambda s, d: updates.compact_by_position((c := _corpus(s, d, LAZY).apply(tables.month_batch(s, d, 1))[0]).steps, c.mav, LENGTH, 1))
 TWO_SQL = f"{INSERT_SQL}, {_month('b2', 2, True)}, e2 AS (SELECT src, dst FROM e1 EXCEPT SELECT src, dst FROM b2), {_updated(2, 'live', 'b2', 'e2', 'mm', 'live2')}"
 
 
@@ -289,17 +294,12 @@ query("affected_fraction", f"{INSERT_SQL} SELECT 1 batch, (SELECT count(*) FROM
 # ---------------------------------------------------------------- second order
 
 N2V = WalkConfig(length=4, model="node2vec", p=0.5, q=2.0)
-SMALL = f"{PAIRS}, {_mirror('e', "dt < TIMESTAMP '1995-03-01'")}"
-
-
-def _small(spark, sf):
-    return tables.tripartite_edges(spark, sf, "1995-03-01")
 
 
 def _n2v_sql(config: WalkConfig) -> str:
     back, near, far = walks.integer_weights(config.p, config.q)
     start = portable_draw_sql("st.walk_id", "0", str(config.seed + walks.START))
-    parts = [f"WITH {SMALL}, {_adj()}, {_starts()}, w0 AS (SELECT st.walk_id, st.vertex cur, a.v prev FROM st LEFT JOIN adj a ON a.u = st.vertex AND a.idx = {start} % a.deg)"]
+    parts = [f"WITH {ALL}, {_adj()}, {_starts()}, w0 AS (SELECT st.walk_id, st.vertex cur, a.v prev FROM st LEFT JOIN adj a ON a.u = st.vertex AND a.idx = {start} % a.deg)"]
     for hop in range(1, config.length):
         weight = lambda c: f"CASE WHEN {c} = x.prev THEN {back} WHEN EXISTS (SELECT 1 FROM e WHERE e.src = x.prev AND e.dst = {c}) THEN {near} ELSE {far} END"
         if config.sampler == "exact":
@@ -315,14 +315,17 @@ def _n2v_sql(config: WalkConfig) -> str:
 
 
 N2V_MH = WalkConfig(length=4, model="node2vec", p=0.5, q=2.0, sampler="mh")
-query("node2vec_steps", _n2v_sql(N2V))(lambda s, d: walks.generate(_small(s, d), N2V))
-query("mh_accept", _n2v_sql(N2V_MH))(lambda s, d: walks.generate(_small(s, d), N2V_MH))
+query("node2vec_steps", _n2v_sql(N2V))(lambda s, d: walks.generate(_edges(s, d), N2V))
+query("mh_accept", _n2v_sql(N2V_MH))(lambda s, d: walks.generate(_edges(s, d), N2V_MH))
 
 
-@query("node2vec_weights", f"WITH {SMALL} SELECT x.dst cur, x.src prev, y.dst cand, CASE WHEN y.dst = x.src THEN 4 WHEN EXISTS (SELECT 1 FROM e z WHERE z.src = x.src AND z.dst = y.dst) THEN 2 ELSE 1 END::BIGINT wt FROM e x JOIN e y ON y.src = x.dst WHERE x.src < 60")
+@query("node2vec_weights", f"WITH {ALL}, c AS (SELECT x.dst cur, x.src prev, count(*) n, count(z.src) near FROM e x JOIN e y ON y.src = x.dst LEFT JOIN e z ON z.src = x.src AND z.dst = y.dst GROUP BY 1, 2) SELECT cur, prev, 1 back, near, n - 1 - near far, (4 + 2 * near + (n - 1 - near))::BIGINT total FROM c")
 def _weights(spark, sf):
-    edges = _small(spark, sf)
-    return _weighed_states(edges, edges.where("src < 60"))
+    """Of each second-order state: candidates of each kind, and their weights' sum."""
+    edges = stored(_edges(spark, sf), "weight-edges")
+    kinds = {"back": 4, "near": 2, "far": 1}
+    counts = [F.count_if(F.col("wt") == w).alias(name) for name, w in kinds.items()]
+    return _weighed_states(edges, edges).groupBy("cur", "prev").agg(*counts, F.sum("wt").alias("total")).withColumn("back", F.col("back").cast("int"))
 
 
 def _weighed_states(edges, asked):
@@ -336,10 +339,10 @@ def _weighed_states(edges, asked):
 TRIALS = 8
 
 
-@query("mh_weight_init", f"WITH {SMALL}, {_adj()}, q AS (SELECT src prev, dst cur FROM e WHERE src < 90), t AS (SELECT range k FROM range({TRIALS})), c AS (SELECT q.prev, q.cur, k, a.v, CASE WHEN a.v = q.prev THEN 4 WHEN EXISTS (SELECT 1 FROM e z WHERE z.src = q.prev AND z.dst = a.v) THEN 2 ELSE 1 END wt FROM q, t, adj a WHERE a.u = q.cur AND a.idx = {portable_draw_sql('q.prev * 1000003 + q.cur', 'k')} % a.deg) SELECT prev, cur, arg_max(v, wt * 100 - k) \"last\" FROM c GROUP BY 1, 2")
+@query("mh_weight_init", f"WITH {ALL}, {_adj()}, q AS (SELECT src prev, dst cur FROM e), t AS (SELECT range k FROM range({TRIALS})), c AS (SELECT q.prev, q.cur, k, a.v, CASE WHEN a.v = q.prev THEN 4 WHEN EXISTS (SELECT 1 FROM e z WHERE z.src = q.prev AND z.dst = a.v) THEN 2 ELSE 1 END wt FROM q, t, adj a WHERE a.u = q.cur AND a.idx = {portable_draw_sql('q.prev * 1000003 + q.cur', 'k')} % a.deg) SELECT prev, cur, arg_max(v, wt * 100 - k) \"last\" FROM c GROUP BY 1, 2")
 def _weight_init(spark, sf):
-    edges = _small(spark, sf)
-    return _chain_starts(edges, edges.where("src < 90"))
+    edges = stored(_edges(spark, sf), "chain-edges")
+    return _chain_starts(edges, edges)
 
 
 def _chain_starts(edges, asked):
@@ -356,6 +359,13 @@ def _chain_starts(edges, asked):
     return weighed.groupBy("prev", "cur").agg(F.max_by("cand", F.col("wt") * 100 - F.col("k")).alias("last"))
 
 
+@query("previously_sampled_vertex", f"WITH RECURSIVE {BASE}, {_w0()}, q AS (SELECT src prev, dst cur FROM e), t AS (SELECT range k FROM range({TRIALS})), c AS (SELECT q.prev, q.cur, k, a.v, CASE WHEN a.v = q.prev THEN 4 WHEN z.src IS NOT NULL THEN 2 ELSE 1 END wt FROM q, t JOIN adj a ON a.u = q.cur AND a.idx = {portable_draw_sql('q.prev * 1000003 + q.cur', 'k')} % a.deg LEFT JOIN e z ON z.src = q.prev AND z.dst = a.v), sm AS (SELECT prev, cur, arg_max(v, wt * 100 - k) \"last\" FROM c GROUP BY 1, 2) SELECT walk_id, pos::INTEGER pos, w.vertex prev, w.\"next\" cur, \"last\" FROM w LEFT JOIN sm ON sm.prev = w.vertex AND sm.cur = w.\"next\"")
+def _previously(spark, sf):
+    """Walkers meet the samplers of their states: what each chain has last drawn; null where the walk has ended."""
+    edges = stored(_base(spark, sf), "sampler-edges")
+    return walks.previously_sampled(walks.generate(edges, DEEP).select("walk_id", "pos", F.col("vertex").alias("prev"), F.col("next").alias("cur")), _chain_starts(edges, edges))
+
+
 # ---------------------------------------------------------------- ordered maps and sequences
 
 ORDERS = "o AS (SELECT o_orderkey idx, o_custkey \"value\" FROM orders)"
@@ -392,56 +402,85 @@ query("quantified", f"WITH {ORDERS} SELECT bool_and(\"value\" > 5) all_of, bool_
 query("is_sorted", f"WITH {ORDERS}, b AS (SELECT min(y.idx) brk FROM o x JOIN o y ON y.idx = x.idx + 1 WHERE y.\"value\" < x.\"value\") SELECT brk IS NULL sorted, coalesce(brk, (SELECT count(*) FROM o)) sorted_until FROM b")(lambda s, d: ordered.is_sorted(_seq(s, d)))
 query("unique_runs", f"WITH {ORDERS}, x AS (SELECT idx, \"value\" % 4 \"value\" FROM o), r AS (SELECT *, lag(\"value\") OVER (ORDER BY idx) p FROM x) SELECT idx, \"value\" FROM r WHERE p IS DISTINCT FROM \"value\"")(lambda s, d: ordered.unique_runs(_seq(s, d).select("idx", (F.col("value") % 4).alias("value"))))
 query("split_two", f"WITH {ORDERS} SELECT idx, \"value\", 1 part FROM o WHERE \"value\" % 2 = 1 UNION ALL SELECT idx, \"value\", 0 FROM o WHERE \"value\" % 2 = 0")(lambda s, d: (x := ordered.split_two(_seq(s, d), F.col("value") % 2 == 1))[1].withColumn("part", F.lit(1)).unionByName(x[0].withColumn("part", F.lit(0))))
-query("rotate_reverse_append", f"WITH {ORDERS}, r AS (SELECT 99 - (idx + 100 - 7) % 100 idx, \"value\" FROM o WHERE idx < 100) SELECT idx, \"value\" FROM r UNION ALL SELECT idx + 100, \"value\" FROM o WHERE idx < 100")(lambda s, d: ordered.append(ordered.reverse(ordered.rotate(x := _seq(s, d).where("idx < 100"), 7, 100), 100), x, 100))
+query("rotate_reverse_append", f"WITH {ORDERS}, k AS (SELECT count(*) n FROM o) SELECT n - 1 - (idx + n - 7) % n idx, \"value\" FROM o, k UNION ALL SELECT idx + n, \"value\" FROM o, k")(lambda s, d: ordered.append(ordered.reverse(ordered.rotate(x := _seq(s, d), 7, n := x.count()), n), x, n))
 query("tokenize_word_counts", "WITH w AS (SELECT unnest(string_split_regex(text, '[\\s\\x00]+')) word FROM documents) SELECT word, count(*) n FROM w WHERE word <> '' GROUP BY 1")(lambda s, d: graph_files.word_counts(tables.table(s, d, "documents"), "text"))
 query("top_k", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey DESC, o_orderkey LIMIT 25")(lambda s, d: tables.table(s, d, "orders").select("o_orderkey", "o_custkey").orderBy(F.desc("o_custkey"), "o_orderkey").limit(25))
-query("random_shuffle")(lambda s, d: ordered.shuffled(_seq(s, d), 5))
+query("random_shuffle", f"WITH {ORDERS} SELECT row_number() OVER (ORDER BY {portable_draw_sql('idx', '0', '5')}, idx) - 1 idx, \"value\" FROM o")(lambda s, d: ordered.shuffled(_seq(s, d), 5))
+
+query("reverse_scan", f"WITH {ORDERS} SELECT idx, \"value\", coalesce(sum(\"value\") OVER (ORDER BY idx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT \"prefix\" FROM o")(lambda s, d: ordered.prefix_sums(_seq(s, d), block=1000, backward=True))
+query("sort_values", f"WITH {ORDERS} SELECT row_number() OVER (ORDER BY \"value\", idx) - 1 idx, \"value\" FROM o")(lambda s, d: ordered.sort_values(_seq(s, d)))
+query("merge_sorted", f"WITH u AS (SELECT o_custkey \"value\", 0 side FROM orders UNION ALL SELECT c_nationkey::BIGINT, 1 FROM customer) SELECT row_number() OVER (ORDER BY \"value\", side) - 1 idx, \"value\" FROM u")(
+    lambda s, d: ordered.merge_sorted(stored(ordered.sort_values(_seq(s, d)), "sorted"), stored(ordered.sort_values(tables.table(s, d, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_nationkey").cast("long").alias("value"))), "sorted"))
+)
+query("split_three", f"WITH {ORDERS} SELECT idx, \"value\", (\"value\" % 3)::INTEGER part FROM o")(lambda s, d: reduce(DataFrame.unionByName, (x.withColumn("part", F.lit(k)) for k, x in enumerate(ordered.split_three(_seq(s, d), F.col("value") % 3)))))
+query("map_filter", f"WITH {ORDERS} SELECT idx, \"value\" * 2 \"value\" FROM o WHERE \"value\" % 5 = 0")(lambda s, d: ordered.map_filter(_seq(s, d), F.when(F.col("value") % 5 == 0, F.col("value") * 2)))
+query("search_sequence", f"WITH {ORDERS}, x AS (SELECT idx, \"value\" % 3 v FROM o) SELECT min(a.idx) first_index, max(a.idx) last_index FROM x a JOIN x b ON b.idx = a.idx + 1 JOIN x c ON c.idx = a.idx + 2 WHERE a.v = 1 AND b.v = 2 AND c.v = 1")(lambda s, d: ordered.search(_seq(s, d).select("idx", (F.col("value") % 3).alias("value")), [1, 2, 1]))
+query("adjacent_find", f"WITH {ORDERS} SELECT min(a.idx) first_index FROM o a JOIN o b ON b.idx = a.idx + 1 WHERE a.\"value\" % 50 = b.\"value\" % 50")(lambda s, d: ordered.adjacent_find(_seq(s, d).select("idx", (F.col("value") % 50).alias("value"))))
+query("compare_sequences", f"WITH {ORDERS}, k AS (SELECT min(idx) m FROM o WHERE idx >= 700 AND \"value\" % 7 <> \"value\" % 8) SELECT m mismatch, m IS NULL equal, (SELECT \"value\" % 7 < \"value\" % 8 FROM o WHERE idx = m) less FROM k")(lambda s, d: ordered.compare(x := _seq(s, d).select("idx", (F.col("value") % 7).alias("value")), _seq(s, d).select("idx", F.when(F.col("idx") < 700, F.col("value") % 7).otherwise(F.col("value") % 8).alias("value"))))
+query("is_partitioned", f"WITH {ORDERS} SELECT 'by index' \"name\", coalesce(max(idx) FILTER (idx < 900) < min(idx) FILTER (idx >= 900), TRUE) partitioned FROM o UNION ALL SELECT 'by value', coalesce(max(idx) FILTER (\"value\" > 9) < min(idx) FILTER (\"value\" <= 9), TRUE) FROM o")(lambda s, d: ordered.is_partitioned(_seq(s, d), F.col("idx") < 900).select(F.lit("by index").alias("name"), "partitioned").unionByName(ordered.is_partitioned(_seq(s, d), F.col("value") > 9).select(F.lit("by value").alias("name"), "partitioned")))
+query("extreme_positions", f"WITH {ORDERS} SELECT arg_min(idx, \"value\" * 1000000 + idx) min_index, min(\"value\") min_value, arg_max(idx, \"value\" * 1000000 - idx) max_index, max(\"value\") max_value FROM o")(lambda s, d: ordered.extreme_positions(_seq(s, d)))
+query("augmented_filter", "SELECT o_orderkey \"key\", o_custkey \"value\" FROM orders WHERE o_custkey > 100")(lambda s, d: ordered.augmented_filter(_map(s, d, "orders", "o_orderkey", "o_custkey"), 100))
+query("approximate_kth")(lambda s, d: ordered.approximate_kth(tables.table(s, d, "orders").select(F.col("o_custkey").alias("value")), 321))
+query("suffix_array", "WITH x AS (SELECT p_partkey id, i pos, substr(p_name, i + 1) s FROM (SELECT p_partkey, p_name, unnest(range(length(p_name))) i FROM part)), r AS (SELECT id, pos, s, row_number() OVER w - 1 \"rank\", lag(s) OVER w p FROM x WINDOW w AS (PARTITION BY id ORDER BY s)) SELECT id, \"rank\", pos, coalesce(list_max(list_filter(range(0, least(length(s), length(p)) + 1), lambda l: left(s, l) = left(p, l))), 0) lcp FROM r")(lambda s, d: suffixes.suffix_array(tables.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))))
+query("count_neighbors", f"WITH {ALL} SELECT src vertex, count_if(dst % 3 = 1)::BIGINT n FROM e GROUP BY 1")(lambda s, d: graph.count_neighbors(_edges(s, d), F.col("dst") % 3 == 1))
+query("check_edges", f"WITH {PAIRS} SELECT 'missing end' \"check\", count(*) FILTER (a IS NULL OR b IS NULL) violations FROM pr UNION ALL SELECT 'negative id', count(*) FILTER (least(a, b) < 0) FROM pr UNION ALL SELECT 'self-loop', count(*) FILTER (a = b) FROM pr UNION ALL SELECT 'repeated edge', count(*) FROM (SELECT 1 FROM pr GROUP BY a, b HAVING count(*) > 1) UNION ALL SELECT 'missing mirror', count(*) FROM pr WHERE NOT EXISTS (SELECT 1 FROM pr q WHERE q.a = pr.b AND q.b = pr.a)")(lambda s, d: graph.check_edges(stored(tables.tripartite_pairs(s, d).select(F.col("a").alias("src"), F.col("b").alias("dst")), "checked-edges")))
 
 # ---------------------------------------------------------------- files, streams, learning
 
 
-@query("adjacency_text_roundtrip", f"WITH {SMALL} SELECT src, dst FROM e")
+@query("adjacency_text_roundtrip", f"WITH {ALL} SELECT src, dst FROM e")
 def _text_roundtrip(spark, sf):
-    return _through_text(spark, sf, _small(spark, sf))
-
-
-def _through_text(spark, sf, edges):
-    from driftwalk.plans.materialise import shared_dir
-
-    at = f"{shared_dir(spark)}/adjacency-{abs(hash(sf)) % 10**8}-{spark.sparkContext.applicationId}-{next(_COUNTER)}"
+    edges, at = stored(_edges(spark, sf), "text-edges"), folder(spark, "adjacency")
     graph_files.write_adjacency_text(edges, edges.agg(F.max("src")).first()[0] + 1, at)
     return graph_files.load_graph(spark, at, "adjacency_text")
 
 
-def _counter():
-    k = 0
-    while True:
-        k += 1
-        yield k
+@query("byte_graph_roundtrip", f"WITH {ALL} SELECT src, dst FROM e")
+def _bytes_roundtrip(spark, sf):
+    at = folder(spark, "byte-graph")
+    graph_files.write_byte_files(stored(_edges(spark, sf), "byte-edges"), at)
+    return graph_files.load_graph(spark, at, "bytes")
+
 
+LATER = "dt >= TIMESTAMP '2001-01-01'"
+#: Order lines of January 2001 are inserted with the rest of the year; what was returned in February is deleted in the second batch.
+query("streaming_foreach_batch", f"WITH {PAIRS}, {_mirror('e', "dt < TIMESTAMP '2001-01-01'")}, {_mirror('b1', LATER)} SELECT src, dst FROM e UNION SELECT src, dst FROM b1")(lambda s, d: _streamed(s, d, [(LATER, "insert")]).edges)
+query("streaming_mixed_batches", f"WITH {PAIRS}, {_mirror('e', "dt < TIMESTAMP '2001-01-01'")}, {_month('b1', 1)}, {_month('b2', 2)}, {_month('b3', 1, True)} (SELECT src, dst FROM e UNION SELECT src, dst FROM b1 UNION SELECT src, dst FROM b2) EXCEPT SELECT src, dst FROM b3")(lambda s, d: _streamed(s, d, [_MONTH(1), ("rf = 'R' AND " + _MONTH(1)[0], "delete"), _MONTH(2)], 2).edges)
+query("streamed_corpus_check", "SELECT * FROM (VALUES ('gap in a walk', 0::BIGINT), ('next is not the next vertex', 0), ('repeated position', 0), ('step without an edge', 0), ('walk doesn''t begin at its start', 0), ('walk ends at a vertex with edges', 0)) t(\"check\", violations)")(lambda s, d: updates.check_corpus(_streamed(s, d, [_MONTH(1), ("rf = 'R' AND " + _MONTH(2)[0], "delete")], 2)))
 
-_COUNTER = _counter()
 
+def _MONTH(month: int) -> tuple[str, str]:
+    return f"dt >= TIMESTAMP '2001-{month:02d}-01' AND dt < TIMESTAMP '2001-{month + 1:02d}-01'", "insert"
 
-@query("streaming_foreach_batch", f"WITH RECURSIVE {PAIRS}, {_mirror('e', "dt < TIMESTAMP '1995-03-01'")}, {_mirror('b1', "dt >= TIMESTAMP '1995-03-01' AND dt < TIMESTAMP '1995-03-15'")}, e1 AS (SELECT src, dst FROM e UNION SELECT src, dst FROM b1) SELECT src, dst FROM e1")
-def _stream(spark, sf):
-    pairs = tables.tripartite_pairs(spark, sf).where("at >= timestamp'1995-03-01' AND at < timestamp'1995-03-15'")
-    return _streamed(spark, _small(spark, sf), pairs)
 
+def _streamed(spark, sf, parts, files: int = 1):
+    """A stream of `files` edge files through foreachBatch into a stored corpus; the corpus after the last.
 
-def _streamed(spark, base, pairs):
-    """A stream of one edge file through foreachBatch into a stored corpus; the edges of the new version."""
-    from driftwalk.plans.materialise import shared_dir
+    parts: (condition on dt and rf, op). With two files the first part comes first, all others in the second file.
+    """
     from driftwalk.streaming.runner import CorpusStore, run_stream
 
-    at = f"{shared_dir(spark)}/stream-{spark.sparkContext.applicationId}-{next(_COUNTER)}"
-    config = WalkConfig(length=3)
+    at, config = folder(spark, "stream"), WalkConfig(length=3)
     store = CorpusStore(spark, f"{at}/store", config)
-    store.write(updates.new_corpus(base, config), 0)
-    tables.mirrored(pairs).withColumn("op", F.lit("insert")).coalesce(1).write.parquet(f"{at}/in")
-    stream = spark.readStream.schema("src long, dst long, op string").parquet(f"{at}/in")
+    store.write(updates.new_corpus(_base(spark, sf), config), 0)
+    pairs = tables.tripartite_pairs(spark, sf).withColumnsRenamed({"at": "dt", "flag": "rf"})
+    for k in range(files):
+        mine = [p for i, p in enumerate(parts) if min(i, files - 1) == k]
+        rows = [tables.mirrored(pairs.where(where)).withColumn("op", F.lit(op)) for where, op in mine]
+        reduce(DataFrame.unionByName, rows).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).schema("src long, dst long, op string").parquet(f"{at}/in")
     run_stream(stream, store, f"{at}/checkpoint").awaitTermination()
-    return store.read(1).edges
+    return store.read(store.last())
+
+
+query("event_window_sliding", "WITH r AS (SELECT ts, user_id src, user_id * 7 % 10 dst FROM events), x AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR window_start, src, dst FROM r, range(4) t(k)) SELECT window_start, src, dst, count(*) n FROM x GROUP BY 1, 2, 3")(lambda s, d: _windows(s, d, lambda e, f: f.windowed_edges(e, "1 day", "1 hour", "6 hours")))
+query("event_sessions", "WITH r AS (SELECT ts, user_id src, user_id * 7 % 10 dst FROM events), g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END new FROM r WINDOW w AS (PARTITION BY src, dst ORDER BY ts)), i AS (SELECT *, sum(new) OVER (PARTITION BY src, dst ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM g) SELECT min(ts) session_start, max(ts) + INTERVAL 2 HOUR session_end, src, dst, count(*) n FROM i GROUP BY src, dst, k")(lambda s, d: _windows(s, d, lambda e, f: f.session_edges(e, "2 hours", "1 hour")))
+
+
+def _windows(spark, sf, how):
+    from driftwalk.streaming import runner
+
+    return how(tables.table(spark, sf, "events").selectExpr("ts", "user_id AS src", "user_id * 7 % 10 AS dst"), runner)
 
 
 @query("event_window_edges", "WITH r AS (SELECT ts, user_id src, user_id * 7 % 10 dst FROM events) SELECT time_bucket(INTERVAL 1 DAY, ts) window_start, src, dst, count(*) n FROM r GROUP BY 1, 2, 3")
@@ -471,27 +510,9 @@ def _hashed(spark, sf):
 
 @query("corpus_size_bytes")
 def _bytes(spark, sf):
-    from driftwalk.plans.materialise import shared_dir
+    """Of each part of a corpus after a batch, as a store keeps it."""
+    from driftwalk.streaming.runner import CorpusStore
 
-    at = f"{shared_dir(spark)}/size-{spark.sparkContext.applicationId}-{next(_COUNTER)}"
-    _live0(spark, sf).repartition("walk_id").sortWithinPartitions("walk_id", "pos").write.parquet(at)
+    at = folder(spark, "size")
+    CorpusStore(spark, at, DEEP).write(_corpus(spark, sf).apply(tables.month_batch(spark, sf, 1))[0], 1)
     return metrics.stored_bytes(spark, at)
-
-
-
-
-# ---------------------------------------------------------------- whole tables
-# What the queries above compare with SQL on a part of the tables, over all of them; SQL would be too slow.
-
-query("connected_components_whole")(lambda s, d: graph.components(e := _edges(s, d), e.select(F.col("src").alias("vertex"))))
-query("k_hop_frontier_whole")(lambda s, d: graph.k_hop(_edges(s, d), s.range(1).select(F.col("id").alias("vertex")), 3))
-query("neighbor_intersection_count_whole")(lambda s, d: graph.common_neighbors(_edges(s, d), _edges(s, d)))
-query("node2vec_steps_whole")(lambda s, d: walks.generate(_edges(s, d), N2V))
-query("mh_accept_whole")(lambda s, d: walks.generate(_edges(s, d), N2V_MH))
-query("adjacency_text_roundtrip_whole")(lambda s, d: _through_text(s, d, _edges(s, d)))
-query("streaming_foreach_batch_whole")(lambda s, d: _streamed(s, _base(s, d), tables.tripartite_pairs(s, d).where(F.col("at") >= F.lit(BASE_BEFORE).cast("timestamp"))))
-query("find_next_whole")(lambda s, d: lookup.find_next(x := walks.generate(_edges(s, d), DEEP), x.select("walk_id", "pos", "vertex")))
-query("find_next_in_range_whole")(lambda s, d: lookup.find_next_in_range(x := walks.generate(_edges(s, d), DEEP), lookup.next_ranges(x), x.select("walk_id", "pos", "vertex"), LENGTH))
-query("node2vec_weights_whole")(lambda s, d: _weighed_states(e := _edges(s, d), e))
-query("mh_weight_init_whole")(lambda s, d: _chain_starts(e := _edges(s, d), e))
-query("rotate_reverse_append_whole")(lambda s, d: ordered.append(ordered.reverse(ordered.rotate(x := _seq(s, d), 7, n := x.count()), n), x, n))
