@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwalk.llm import simple8b
-from driftwalk.llm.common import shuffle_partitions, slices, two_columns
+from driftwalk.llm.common import runs, shuffle_partitions, two_columns
 
 FRAME_SCHEMA = "shard int, frame_start long, n_ids long, doc_ids array<long>, lengths array<int>, payload binary"
 DOC_SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, ids_crc32 long"
-#: Characters of text whose ids make a frame: what a worker holds at once.
-FRAME_CHARS = 6_000_000
+#: Bytes of text whose ids make a frame: what a worker holds at once, but for a longer text.
+FRAME_BYTES = 4_000_000
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -36,12 +36,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0,
 
         tool, start = coder(tokenizer_path), 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids, shards = batch.column("doc_id").to_pylist(), batch.column("shard").to_pylist()
-            for run in slices(list(range(len(texts))), [len(t or "") + 1 for t in texts], FRAME_CHARS):
-                flat, lengths = tool.encode([texts[k] for k in run])
+            for run in runs(batch, "text", FRAME_BYTES):
+                flat, lengths = tool.encode(run.column("text").to_pylist())
                 flat = np.insert(flat, np.cumsum(lengths), end_id)
-                frame = {"shard": [shards[run[0]]], "frame_start": [start], "n_ids": [len(flat)], "doc_ids": [[ids[k] for k in run]], "lengths": [(lengths + 1).tolist()], "payload": [simple8b.encode(flat)]}
+                frame = {"shard": [run.column("shard")[0].as_py()], "frame_start": [start], "n_ids": [len(flat)], "doc_ids": [run.column("doc_id").to_pylist()], "lengths": [(lengths + 1).tolist()], "payload": [simple8b.encode(flat)]}
                 start += len(flat)
                 yield pa.RecordBatch.from_pydict(frame, FRAME_ARROW)
 
@@ -56,20 +54,26 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FRAME_SCHEMA).parquet(path)
 
 
+def _frames(batches):
+    """Frames one by one, whatever their number in an Arrow batch."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield batch.slice(at, 1).to_pylist()[0]
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files: start counts the ids of all documents before.
 
     Only sums of shards meet in one task: as many rows as the writer had partitions.
     """
     def decode(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = simple8b.decode(row["payload"]).astype("<u4")
-                lengths = np.array(row["lengths"], np.int64)
-                ends = np.cumsum(lengths)
-                raw, starts = ids.tobytes(), ends - lengths
-                sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"shard": [row["shard"]] * len(sums), "doc_id": row["doc_ids"], "shard_start": (starts + row["frame_start"]).tolist(), "n_tokens": lengths.tolist(), "ids_crc32": sums}, DOC_ARROW)
+        for row in _frames(batches):
+            ids = simple8b.decode(row["payload"]).astype("<u4")
+            lengths = np.array(row["lengths"], np.int64)
+            ends = np.cumsum(lengths)
+            raw, starts = memoryview(ids).cast("B"), ends - lengths
+            sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"shard": [row["shard"]] * len(sums), "doc_id": row["doc_ids"], "shard_start": (starts + row["frame_start"]).tolist(), "n_tokens": lengths.tolist(), "ids_crc32": sums}, DOC_ARROW)
 
     frames = read_frames(spark, path)
     totals = frames.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
@@ -84,10 +88,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     def decode(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = simple8b.decode(row["payload"]).astype(np.int64)
-                parts = np.split(ids, np.cumsum(row["lengths"])[:-1])
-                yield pa.RecordBatch.from_pydict({"doc_id": row["doc_ids"], "ids": parts}, schema)
+        for row in _frames(batches):
+            ids = simple8b.decode(row["payload"]).astype(np.int64)
+            parts = np.split(ids, np.cumsum(row["lengths"])[:-1])
+            yield pa.RecordBatch.from_pydict({"doc_id": row["doc_ids"], "ids": parts}, schema)
 
     return read_frames(spark, path).select("doc_ids", "lengths", "payload").mapInArrow(decode, "doc_id long, ids array<long>")

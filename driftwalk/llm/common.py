@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwalk.plans.materialise import shared_dir
-
-_serial = itertools.count()
+from driftwalk.plans.materialise import folder, stored
 
 
 def two_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -20,28 +15,28 @@ def two_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def staging(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share."""
-    return f"{shared_dir(spark)}/llm/{name}-{next(_serial)}-{uuid.uuid4().hex[:12]}"
+    return folder(spark, f"llm-{name}")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: computed once, safe from lost executors."""
-    at = staging(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    return stored(df, f"llm-{name}")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(items: list, sizes, most: int):
-    """Runs of items whose sizes add up to about `most`, so that memory doesn't follow the batch."""
-    run, held = [], 0
-    for item, size in zip(items, sizes, strict=True):
-        run.append(item)
-        held += size
-        if held >= most:
-            yield run
-            run, held = [], 0
-    if run:
-        yield run
+def runs(batch, column: str, most: int, each: int = 1):
+    """Slices of an Arrow batch whose texts have about `most` bytes each, a row counting `each` besides.
+
+    A longer text is one alone: lists of Python values stay bounded.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + each
+    block = (np.cumsum(sizes) - sizes) // most
+    cuts = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)

@@ -11,8 +11,10 @@ import re
 
 import numpy as np
 
-#: Parts in a generation of a worker's cache.
-CACHE_PARTS = 600_000
+#: Bytes that a generation of a worker's cache may take, about; two are held.
+CACHE_BYTES = 48 << 20
+#: Bytes of an entry beside its part and its value.
+ENTRY_BYTES = 180
 #: Longer parts are encoded but not kept.
 KEPT_CHARS = 64
 
@@ -57,7 +59,7 @@ def cuts_before_spaces(text: str) -> bool:
     after it, or where other white space stands before a line break: the
     byte-level pattern cuts such runs elsewhere.
     """
-    if text.isascii() and "  " not in text and "\n " not in text and " \n" not in text and not any(c in text for c in "\t\r\v\f\x1c\x1d\x1e\x1f"):
+    if "  " not in text and "\n " not in text and " \n" not in text and text.replace("\n", "").isprintable():  # no other white space
         return True
     return _ODD.search(text) is None
 
@@ -74,15 +76,15 @@ def latin_word(part: str) -> bool:
 
 
 class Generations:
-    """Bounded values of parts: what wasn't used since the last turn but one is forgotten."""
+    """Values of parts, bounded by bytes: what wasn't used since the last turn but one is forgotten."""
 
     def __init__(self, pinned: dict | None = None):
-        self.pinned, self.new, self.old = pinned or {}, dict(pinned or {}), {}
+        self.pinned, self.new, self.old, self.held = pinned or {}, dict(pinned or {}), {}, 0
 
     def lookup(self, parts: list[str], compute) -> list:
         """Values of parts; compute(missing) gives a dict of those that aren't held."""
-        if len(self.new) > CACHE_PARTS + len(self.pinned):
-            self.old, self.new = self.new, dict(self.pinned)
+        if self.held > CACHE_BYTES:
+            self.old, self.new, self.held = self.new, dict(self.pinned), 0
         new, old = self.new, self.old
         found = list(map(new.get, parts))
         gaps = [k for k, v in enumerate(found) if v is None]
@@ -94,12 +96,15 @@ class Generations:
                 missing.append(p)
             else:
                 new[p] = found[k] = v
+                self.held += ENTRY_BYTES
         if missing:
             made = compute(missing)
             for k in gaps:
                 if found[k] is None:
                     found[k] = made[parts[k]]
-            new.update(made if all(len(p) <= KEPT_CHARS for p in made) else {p: v for p, v in made.items() if len(p) <= KEPT_CHARS})
+            kept = {p: v for p, v in made.items() if len(p) <= KEPT_CHARS}
+            new.update(kept)
+            self.held += ENTRY_BYTES * len(kept) + sum(map(len, kept))
         return found
 
 
@@ -111,7 +116,7 @@ def distinct_parts(texts: list[str], pattern: str, replacement: str) -> tuple[li
     column = pc.replace_substring_regex(pa.array(texts, pa.large_string()), pattern, replacement)
     cut = pc.split_pattern(column, " ")
     coded = pc.dictionary_encode(cut.values)
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), cut.offsets.to_numpy()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), cut.offsets.to_numpy()
 
 
 class PieceCoder:
@@ -168,7 +173,8 @@ class PieceCoder:
         index = index.astype(np.int64)
         index[offsets[:-1]] = len(parts) + np.arange(len(safe))
         # Texts that the library takes whole are one part each.
-        other = [k for k in range(len(texts)) if texts[k] and k not in set(safe)] if len(safe) < len(texts) else []
+        known = set(safe)
+        other = [k for k in range(len(texts)) if texts[k] and k not in known]
         values += [self.whole(texts[k]) for k in other]
         extra = len(parts) + len(safe) + np.arange(len(other))
         sizes = np.zeros(len(texts), np.int64)
@@ -184,7 +190,9 @@ class PieceCoder:
         starts = np.cumsum(lens) - lens
         n = lens[slots]
         ends = np.cumsum(n)
-        flat = pool[np.repeat(starts[slots] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        place = np.arange(int(ends[-1]) if len(ends) else 0)
+        place += np.repeat(starts[slots] - (ends - n), n)
+        flat = pool[place]
         upto = np.append(0, ends)
         edges = np.append(where, len(slots))
         return flat, upto[edges[1:]] - upto[edges[:-1]]
