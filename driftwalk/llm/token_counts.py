@@ -1,9 +1,11 @@
 """Operator 5: token counts by a two-tier lookup on the map side.
 
 Tier one is a broadcast table of the most frequent pre-tokens' lengths, at
-most `table_size` entries. Tier two is each worker's bounded cache: misses are
-encoded by the tokenizer once and kept. Pre-tokens are never shuffled; what
-the frequency pass shuffles are at most `summary_size` counts a partition.
+most `table_size` entries. Tier two is each worker's cache, bounded by bytes:
+misses are encoded by the tokenizer once and kept. Nothing is shuffled by
+pre-token: the frequency pass packs a partition's summary, `summary_size`
+counts at most, into one row; rows are dealt round-robin to MERGERS tasks
+that add them up, and the driver gets one merged summary from each.
 
 Null and empty text: 0 bytes, 0 tokens. Repeated rows are counted each. An
 empty table gives no rows. The table of frequent parts changes speed alone.
@@ -14,34 +16,60 @@ from __future__ import annotations
 import struct
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwalk.llm.common import slices, two_columns
+from driftwalk.llm.common import runs, two_columns
 
-#: Characters of text that a worker cuts at once.
-RUN_CHARS = 4_000_000
-SUMMARY = pa.schema([("part", pa.string()), ("n", pa.int64())])
+#: Bytes of text that a worker cuts at once.
+RUN_BYTES = 4_000_000
+#: Tasks that merge the partitions' summaries.
+MERGERS = 64
+SUMMARY = pa.schema([("parts", pa.string()), ("counts", pa.binary())])
 COUNTED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def frequent_parts(docs: DataFrame, table_size: int, summary_size: int, held: int = 200_000) -> list[str]:
-    """The most frequent parts of all texts: each partition keeps counts of at most `held` parts and sends its largest."""
+def _packed(counts: Counter, size: int):
+    """A summary's row: the largest counts, ties by part."""
+    top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]
+    return pa.RecordBatch.from_pydict({"parts": ["\0".join(p for p, _ in top)], "counts": [np.array([c for _, c in top], "<i8").tobytes()]}, SUMMARY)
+
+
+def _unpacked(parts: str, counts: bytes) -> dict[str, int]:
+    return dict(zip(parts.split("\0"), np.frombuffer(counts, "<i8").tolist(), strict=True)) if counts else {}
+
+
+def frequent_parts(docs: DataFrame, table_size: int, summary_size: int, held: int = 100_000) -> list[str]:
+    """The most frequent parts of all texts, about: each partition counts at most `held` parts and sends its largest."""
+    def bounded(counts: Counter) -> Counter:
+        return Counter(dict(counts.most_common(held // 2))) if len(counts) > held else counts
+
     def summarise(batches):
         counts: Counter = Counter()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if text:
-                    counts.update(text.replace("\n", " ").split(" "))
-            if len(counts) > held:
-                counts = Counter(dict(counts.most_common(held // 2)))
-        top = [(p, c) for p, c in counts.most_common(summary_size) if len(p) <= 64]
-        yield pa.RecordBatch.from_pydict({"part": [p for p, _ in top], "n": [c for _, c in top]}, SUMMARY)
+            for run in runs(batch, "text", RUN_BYTES):
+                for text in run.column("text").to_pylist():
+                    if text:
+                        counts.update(text.replace("\n", " ").split(" "))
+                        counts = bounded(counts)
+        yield _packed(Counter({p: c for p, c in counts.items() if len(p) <= 64 and "\0" not in p}), summary_size)
+
+    def merge(batches):
+        counts: Counter = Counter()
+        for batch in batches:
+            for parts, some in zip(batch.column("parts"), batch.column("counts"), strict=True):
+                counts.update(_unpacked(parts.as_py(), some.as_py()))
+                counts = bounded(counts)
+        yield _packed(counts, table_size)
 
-    parts = docs.select("text").mapInArrow(summarise, "part string, n long")
-    rows = parts.groupBy("part").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "part").limit(table_size).collect()
-    return [r.part for r in rows]
+    kind = "parts string, counts binary"
+    merged: Counter = Counter()
+    for row in docs.select("text").mapInArrow(summarise, kind).repartition(MERGERS).mapInArrow(merge, kind).toLocalIterator():
+        merged.update(_unpacked(row.parts, bytes(row.counts)))
+    return [p for p, _ in sorted(merged.items(), key=lambda x: (-x[1], x[0]))[:table_size]]
 
 
 def pack_lengths(lengths: dict[str, int]) -> bytes:
@@ -77,11 +105,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, table_
             _counters.clear()
             counter = _counters[key] = PieceCounter(tokenizer_path, unpack_lengths(held.value))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids = batch.column("doc_id").to_pylist()
-            for run in slices(list(range(len(texts))), [len(t or "") + 1 for t in texts], RUN_CHARS):
-                some = [texts[k] for k in run]
-                yield pa.RecordBatch.from_pydict({"doc_id": [ids[k] for k in run], "n_bytes": [len(t.encode()) if t else 0 for t in some], "n_tokens": counter.count(some)}, COUNTED)
+            for run in runs(batch, "text", RUN_BYTES):
+                n_bytes = pc.binary_length(run.column("text")).fill_null(0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([run.column("doc_id"), n_bytes, pa.array(counter.count(run.column("text").to_pylist()), pa.int64())], schema=COUNTED)
 
     found = rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
     return found.withColumn("over_limit", F.col("n_tokens") > limit)
