@@ -1,7 +1,8 @@
 """Operator 9: benchmark decontamination by an FM-index of each training shard.
 
 Words are lower-cased (A-Z alone) runs of ASCII digits, letters and non-ASCII
-characters. A shard is a run of documents that a worker holds. Its words are
+characters. A shard is a run of documents that a worker holds, of at most
+SHARD_BYTES unless a single text is longer. Its words are
 written over the alphabet of the test phrases; a word outside that alphabet
 can't be part of a phrase, so a run of such words is one separator, and runs
 of alphabet words shorter than the shortest phrase are left out. Over this
@@ -12,23 +13,25 @@ are located by stepping to sampled positions, and their spans are merged.
 Results: null or empty text has no words and no hits; an item without words
 has no phrase. Items of null id mark words but aren't listed. Repeated items
 count once, repeated documents each. Empty tables give no rows, or no hits.
-The test set is searched in blocks of at most BLOCK_CHARS characters, each a
-broadcast of bounded size; every block sees all documents.
+The test set is searched in blocks of at most BLOCK_CHARS characters, read one
+after the other: the driver and the workers hold one block at a time, and what
+a block has found is written before the next one comes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwalk.llm.common import slices, two_columns
+from driftwalk.llm.common import runs, staged, two_columns
 
-#: Characters of text in a shard, and of test items in a broadcast.
-SHARD_CHARS, BLOCK_CHARS = 24_000_000, 20_000_000
+#: Bytes of text in a shard, and characters of test items in a broadcast.
+SHARD_BYTES, BLOCK_CHARS = 8_000_000, 20_000_000
 #: Text positions between two sampled ones.
 SAMPLE = 8
 
@@ -36,6 +39,9 @@ SAMPLE = 8
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+_WORDS = re.compile(rb"[^ ]+")
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
 
@@ -58,23 +64,43 @@ class Phrases:
         self.shortest = int(self.lengths.min()) if len(windows) else 0
 
 
+class Bits:
+    """A bit vector in 64-bit words, with the number of ones before each word."""
+
+    def __init__(self, bits: np.ndarray):
+        size = len(bits) // 64 + 1
+        packed = np.packbits(bits, bitorder="little")
+        self.words = np.zeros(size, "<u8")
+        self.words.view(np.uint8)[: len(packed)] = packed
+        self.before = np.zeros(size, np.int32)
+        np.cumsum(np.bitwise_count(self.words[:-1]), dtype=np.int32, out=self.before[1:])
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Ones before i."""
+        word = i >> 6
+        inside = self.words[word] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
+        return self.before[word] + np.bitwise_count(inside).astype(np.int64)
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        return ((self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+
+
 class WaveletMatrix:
-    """rank(symbol, i): how often a symbol stands before i; and access(i)."""
+    """rank(symbol, i): how often a symbol stands before i; and access(i). Each level takes 1.5 bits a position."""
 
     def __init__(self, symbols: np.ndarray, bits: int):
         self.bits, self.levels, self.zeros = bits, [], []
         for level in range(bits - 1, -1, -1):
-            bit = (symbols >> level) & 1
-            self.levels.append(np.concatenate([[0], np.cumsum(bit)]))
-            zero = bit == 0
-            self.zeros.append(int(zero.sum()))
-            symbols = np.concatenate([symbols[zero], symbols[~zero]])
+            one = ((symbols >> level) & 1).astype(bool)
+            self.levels.append(Bits(one))
+            self.zeros.append(int(len(one) - one.sum()))
+            symbols = np.concatenate([symbols[~one], symbols[one]])
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         start = np.zeros_like(i)
         for level, ones, zeros in zip(range(self.bits - 1, -1, -1), self.levels, self.zeros, strict=True):
             one = ((symbol >> level) & 1).astype(bool)
-            a, b = ones[start], ones[i]
+            a, b = ones.rank(start), ones.rank(i)
             start = np.where(one, zeros + a, start - a)
             i = np.where(one, zeros + b, i - b)
         return i - start
@@ -83,9 +109,9 @@ class WaveletMatrix:
         """(symbol at i, rank of that symbol at i)."""
         symbol, start = np.zeros_like(i), np.zeros_like(i)
         for ones, zeros in zip(self.levels, self.zeros, strict=True):
-            bit = ones[i + 1] - ones[i]
+            bit = ones.at(i)
             symbol = symbol * 2 + bit
-            a, b = ones[start], ones[i]
+            a, b = ones.rank(start), ones.rank(i)
             start = np.where(bit == 1, zeros + a, start - a)
             i = np.where(bit == 1, zeros + b, i - b)
         return symbol, i - start
@@ -121,15 +147,12 @@ class FMIndex:
     """Backward search and location over symbols from 1 (separators included); 0 is the end."""
 
     def __init__(self, text: np.ndarray, largest: int):
-        self.text = np.append(text, 0)
-        n = len(self.text)
-        order = suffix_order(self.text)
-        bwt = self.text[order - 1]
-        self.n, self.wavelet = n, WaveletMatrix(bwt, max(1, int(largest).bit_length()))
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=largest + 1))])
+        text = np.append(text, 0)  # not kept: the index stands for it
+        order = suffix_order(text)
+        self.n, self.wavelet = len(text), WaveletMatrix(text[order - 1], max(1, int(largest).bit_length()))
+        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=largest + 1))])
         sampled = order % SAMPLE == 0
-        self.sampled, self.place = sampled, np.concatenate([[0], np.cumsum(sampled)])
-        self.positions = order[sampled]
+        self.sampled, self.positions = Bits(sampled), order[sampled].astype(np.int32)
 
     def search(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
         """(low, high) of each phrase among the ordered suffixes."""
@@ -149,8 +172,8 @@ class FMIndex:
         out, steps = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         left, at = np.arange(len(rows)), rows.copy()
         while len(left):
-            done = self.sampled[at]
-            out[left[done]] = self.positions[self.place[at[done]]] + steps[left[done]]
+            done = self.sampled.at(at) == 1
+            out[left[done]] = self.positions[self.sampled.rank(at[done])] + steps[left[done]]
             left, at = left[~done], at[~done]
             if len(left):
                 symbol, rank = self.wavelet.access_rank(at)
@@ -228,30 +251,50 @@ def _blocks(items: DataFrame, id_col: str, text_col: str):
         yield run
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, spans, items): merged word spans and sorted item ids of each document."""
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """(doc_id, n_words, spans, items): merged word spans and sorted item ids of each document.
+
+    with_text adds text, the document without the spans.
+    """
     rows = two_columns(docs, id_col, text_col).withColumn("n_words", F.lit(0).cast("long")).withColumn("spans", F.expr("cast(array() as array<struct<start:long,end:long>>)")).withColumn("items", F.expr("cast(array() as array<long>)"))
     schema = "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
-    blocks = list(_blocks(items, item_id_col, item_text_col)) or [[]]
-    for block in blocks:  # one, unless the test set is larger than a broadcast may be
-        rows = rows.mapInArrow(_searcher(docs.sparkSession.sparkContext.broadcast(block), window, last=block is blocks[-1]), schema)
-    return rows.select("doc_id", "n_words", "spans", "items")
-
-
-def _searcher(held, window: int, last: bool):
+    blocks = _blocks(items, item_id_col, item_text_col)
+    block = next(blocks, [])
+    while block is not None:  # one, unless the test set is larger than a broadcast may be
+        later = next(blocks, None)
+        rows = rows.mapInArrow(_searcher(docs.sparkSession.sparkContext.broadcast(block), window, ("cleaned" if with_text else "none") if later is None else "whole"), schema)
+        rows, block = rows if later is None else staged(rows, "decontamination-found"), later
+    return rows.select("doc_id", "n_words", "spans", "items", *(["text"] if with_text else []))
+
+
+def without_spans(text: str | None, spans: list[dict]) -> str | None:
+    """A text without some spans of words, each from its first word's first to its last word's last character."""
+    if not text or not spans:
+        return text
+    data = text.encode("utf-8", "surrogatepass")
+    words = [m.span() for m in _WORDS.finditer(data.translate(_WORD_BYTES))]
+    cuts = [(words[s["start"]][0], words[s["end"] - 1][1]) for s in spans]
+    edges = [0, *(x for cut in cuts for x in cut), len(data)]
+    return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "surrogatepass")
+
+
+def _searcher(held, window: int, give: str):
+    """give: which text leaves the worker, whole, cleaned or none."""
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("spans", pa.list_(span)), ("items", pa.list_(pa.int64()))])
 
     def search(batches):
         phrases = Phrases(held.value, window)
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            old = list(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True))
-            for run in slices(list(range(len(texts))), [len(t or "") + 1 for t in texts], SHARD_CHARS):
-                got = shard_hits([texts[k] for k in run], phrases)
-                merged = [merge(old[k][0], spans) for k, (_, spans, _) in zip(run, got, strict=True)]
-                listed = [sorted({*old[k][1], *found}) for k, (_, _, found) in zip(run, got, strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": [ids[k] for k in run], "text": [None if last else texts[k] for k in run], "n_words": [n for n, _, _ in got], "spans": merged, "items": listed}, schema)
+            for run in runs(batch, "text", SHARD_BYTES):
+                got = shard_hits(run.column("text").to_pylist(), phrases)
+                old = zip(run.column("spans").to_pylist(), run.column("items").to_pylist(), got, strict=True)
+                found = [(n, merge(before, spans), sorted({*listed, *items})) for before, listed, (n, spans, items) in old]
+                text = pa.nulls(run.num_rows, pa.string()) if give == "none" else run.column("text")
+                if give == "cleaned":
+                    text = pa.array([without_spans(t, f[1]) for t, f in zip(text.to_pylist(), found, strict=True)], pa.string())
+                columns = [pa.array([f[k] for f in found], schema.field(k + 2).type) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([run.column("doc_id"), text, *columns], schema=schema)
 
     return search
 
