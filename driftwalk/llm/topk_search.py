@@ -9,10 +9,15 @@ the best k, seen or unseen, can still qualify; the scores of those that can
 are then resolved. The best scores of earlier blocks are kept and let later
 blocks stop sooner.
 
+Candidates are packed into blocks once. Queries come in waves of bounded size:
+a wave is broadcast, each task reads blocks of candidates and keeps the k best
+of each query, and a wave's rows are written before the next one is read. So
+what is shuffled are the vectors, and k rows a query and task.
+
 Vectors that are null or hold null or non-finite components take no part. A
-shorter vector counts as filled up by zeros. Scores must fit 63 bits. Repeated
-ids are candidates each, but a row never meets another row of its own id.
-Queries x candidates are dealt out as pairs of blocks, each of bounded size.
+shorter vector counts as filled up by zeros. Scores that don't fit 63 bits
+raise a ValueError. Repeated ids are candidates each, but a row never meets
+another row of its own id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Vectors in a block of candidates and of queries, at most; partitions hold half of that, so that few blocks are remainders.
 CANDIDATES, QUERIES = 8192, 512
+#: Bytes of query vectors that are broadcast at once.
+WAVE_BYTES = 16 << 20
 #: Entries read of each list between two looks at the bounds.
 DEPTH = 256
 
@@ -139,7 +146,7 @@ def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
         if ids:
             yield block()
 
-    return rows.mapInArrow(pack, f"ids binary, dims int, data binary").select(*(F.col(c).alias(f"{name}_{c}") for c in ("ids", "dims", "data")))
+    return rows.mapInArrow(pack, "ids binary, dims int, data binary").select(*(F.col(c).alias(f"{name}_{c}") for c in ("ids", "dims", "data")))
 
 
 def _unpack(ids: bytes, dims: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -147,61 +154,76 @@ def _unpack(ids: bytes, dims: int, data: bytes) -> tuple[np.ndarray, np.ndarray]
     return i, np.frombuffer(data, "<i2" if dims < 0 else "<i8").astype(np.int64).reshape(len(i), abs(dims))
 
 
+def _waves(queries: DataFrame):
+    """Runs of query blocks of at most about WAVE_BYTES, read partition by partition."""
+    run, held = [], 0
+    for row in queries.toLocalIterator():
+        run.append((bytes(row.q_ids), row.q_dims, bytes(row.q_data)))
+        held += len(row.q_ids) + len(row.q_data)
+        if held >= WAVE_BYTES:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
+
+
 def top_k(df: DataFrame, query_filter: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", lanes: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best, ties to the smaller vec_id.
 
-    A query block meets all candidate blocks, in `lanes` tasks at most; each
-    task keeps k rows a query, so that lanes * k rows a query meet at the end.
+    A wave of queries meets all candidate blocks, in `lanes` tasks at most;
+    each task keeps k rows a query, so that lanes * k rows a query meet at the end.
     """
     from driftwalk.llm.common import shuffle_partitions, staged
 
+    spark = df.sparkSession
     rows = _vectors(df, id_col, vector_col, scale)
-    lanes = lanes or shuffle_partitions(df.sparkSession)
-    many = rows.count()
-    spread = max(1, min(lanes, -(-2 * many // CANDIDATES)))
+    lanes = lanes or shuffle_partitions(spark)
+    spread = max(1, -(-2 * rows.count() // CANDIDATES))
     candidates = staged(_packed(rows.repartition(spread, F.xxhash64("vec_id")), CANDIDATES, "c"), "topk-candidates")
-    queries = rows.where(query_filter).repartition(max(1, min(lanes, spread)), F.xxhash64("vec_id"))
-    queries = staged(_packed(queries, QUERIES, "q"), "topk-queries").withColumn("q", F.monotonically_increasing_id())
-    held = max(1, min(8, lanes // max(1, queries.count())) if lanes > 1 else 1)
-    # Block pairs meet on a lane: a query block goes to each lane once, a candidate block to its own lane.
-    left = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(held - 1))))
-    right = candidates.withColumn("lane", F.pmod(F.monotonically_increasing_id() + F.shiftrightunsigned(F.monotonically_increasing_id(), 33), F.lit(held)).cast("int"))
-    pairs = left.join(right, "lane").repartition(lanes, "q", "lane").sortWithinPartitions("q", "lane")
-    found = pairs.select("q", "lane", "q_ids", "q_dims", "q_data", "c_ids", "c_dims", "c_data").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    queries = staged(_packed(rows.where(query_filter), QUERIES, "q"), "topk-queries")
+    schema, found = "query_id long, vec_id long, score long", None
+    waves = _waves(queries)
+    wave = next(waves, [])
+    while wave is not None:
+        later = next(waves, None)
+        best = candidates.repartition(min(lanes, spread)).mapInArrow(_search(spark.sparkContext.broadcast(wave), k), schema)
+        best = best if later is None else staged(best, "topk-wave")
+        found, wave = best if found is None else found.unionByName(best), later
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(k: int):
+def _search(held, k: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def search(batches):
-        at, ids, vectors, best = None, None, None, {}
-
-        def flush():
-            rows = [(int(ids[i]), int(v), int(s)) for i, (vs, ss) in best.items() for v, s in zip(vs, ss, strict=True)]
-            return pa.RecordBatch.from_pydict({n: [r[j] for r in rows] for j, n in enumerate(("query_id", "vec_id", "score"))}, schema)
-
+        queries = [_unpack(*block) for block in held.value]
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                if (row["q"], row["lane"]) != at:
-                    if best:
-                        yield flush()
-                    at, best = (row["q"], row["lane"]), {}
-                    ids, vectors = _unpack(row["q_ids"], row["q_dims"], row["q_data"])
-                other, values = _unpack(row["c_ids"], row["c_dims"], row["c_data"])
-                dims = max(vectors.shape[1], values.shape[1])
-                lists = SortedLists(other, np.pad(values, ((0, 0), (0, dims - values.shape[1]))))
-                for i in range(len(ids)):
-                    old = best.get(i)
-                    floor = int(old[1][-1]) if old is not None and len(old[1]) >= k else None
-                    rows, scores, _ = lists.top(int(ids[i]), np.pad(vectors[i], (0, dims - vectors.shape[1])), k, floor)
-                    v, s = other[rows], scores
-                    if old is not None:
-                        v, s = np.concatenate([old[0], v]), np.concatenate([old[1], s])
-                    by = np.lexsort((v, -s))[:k]
-                    best[i] = (v[by], s[by])
-        if best:
-            yield flush()
+            for ids, dims, data in zip(*(batch.column(c) for c in ("c_ids", "c_dims", "c_data")), strict=True):
+                _compare(best, queries, *_unpack(ids.as_py(), dims.as_py(), data.as_py()), k)
+        for b, (ids, _) in enumerate(queries):
+            own = [(np.full(len(best[b, i][0]), ids[i]), *best[b, i]) for i in range(len(ids)) if (b, i) in best]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*own, strict=True)], schema=schema)
 
     return search
+
+
+def _compare(best: dict, queries: list[tuple[np.ndarray, np.ndarray]], other: np.ndarray, values: np.ndarray, k: int) -> None:
+    """Takes a block of candidates into the k best (ids, scores) of each query."""
+    widest = max([values.shape[1], *(v.shape[1] for _, v in queries)])
+    lists = SortedLists(other, np.pad(values, ((0, 0), (0, widest - values.shape[1]))))
+    for b, (ids, vectors) in enumerate(queries):
+        if lists.largest * int(np.abs(vectors).max(initial=0)) * widest >= 1 << 62:
+            raise ValueError("scores don't fit 63 bits")
+        vectors = np.pad(vectors, ((0, 0), (0, widest - vectors.shape[1])))
+        for i in range(len(ids)):
+            old = best.get((b, i))
+            floor = int(old[1][-1]) if old is not None and len(old[1]) >= k else None
+            rows, scores, _ = lists.top(int(ids[i]), vectors[i], k, floor)
+            v, s = other[rows], scores
+            if old is not None:
+                v, s = np.concatenate([old[0], v]), np.concatenate([old[1], s])
+            by = np.lexsort((v, -s))[:k]
+            best[b, i] = (v[by], s[by])
