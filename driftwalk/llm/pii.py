@@ -12,8 +12,10 @@ Valid base matches are always spans.
 
 Positions are code points, end exclusive. Null and empty text: no spans.
 Repeated rows are judged each. Without candidates the classifier rejects all.
-All patterns are possessive and start at run boundaries, so long runs of
-digits or letters take linear time and no deep recursion.
+An empty table gives no rows. All patterns are possessive and start at run
+boundaries, so long runs of digits or letters take linear time and no deep
+recursion. Positions are running sums by blocks, so a text with very many
+matches takes time in proportion to them, too.
 """
 
 from __future__ import annotations
@@ -45,19 +47,71 @@ FEATURES = ("kind", "length", "digits", "mixed", "cue")
 THRESHOLD = 0.5
 
 
+#: Elements of a block of a running value.
+BLOCK = 128
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, zero: int, op, levels: int = 1) -> Column:
+    """For each of an array of ints: op over all before it.
+
+    A block grows its array element by element, at a cost of its square;
+    blocks' totals are run through likewise. So costs are in proportion to the
+    array, and to a small share of the square of its blocks.
+    """
+    def plain(some: Column) -> Column:
+        empty = F.expr(f"cast(named_struct('at', {zero}, 'out', array()) as struct<at:int,out:array<int>>)")
+        return F.aggregate(some, empty, lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    if not levels:
+        return plain(values)
+
+    def blocked(v: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / F.lit(BLOCK)).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, BLOCK))
+
+        def joined(blocks: Column) -> Column:
+            totals = F.transform(blocks, lambda some: F.aggregate(some, F.lit(zero), op))
+            inner = F.zip_with(blocks, _running(totals, zero, op, levels - 1), lambda some, before: F.transform(plain(some), lambda x: op(x, before)))
+            return F.flatten(inner)
+
+        return F.when(F.size(v) <= BLOCK, plain(v)).otherwise(_let(cut, joined))
+
+    return _let(values, blocked)
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+#: Characters before a match that labelers look at.
+CONTEXT = 24
+
+
 def _found(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, s>> of a pattern's matches: what stands between them gives the positions."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    empty = F.expr("cast(named_struct('at', 0, 'out', array()) as struct<at:int,out:array<struct<start:int,end:int,s:string>>>)")
+    """array<struct<start, end, s, before>> of a pattern's matches: what stands between them gives the positions.
 
-    def add(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        end = start + F.length(pair["s"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["s"].alias("s")))).alias("out"))
+    before: what stands before a match, back to the start of the match before it, CONTEXT characters at most.
+    """
+    def placed(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        before = F.transform(gaps, lambda gap, i: F.right(F.concat(F.when(i > 0, F.right(F.get(hits, i - 1), F.lit(CONTEXT))).otherwise(""), F.right(gap, F.lit(CONTEXT))), F.lit(CONTEXT)))
+        pairs = F.arrays_zip(hits.alias("s"), F.transform(gaps, F.length).alias("gap"), before.alias("before"))
 
-    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda s, gap: F.struct(s.alias("s"), gap.alias("gap")))
-    return F.aggregate(pairs, empty, add, lambda acc: acc["out"])
+        def spans(some: Column) -> Column:
+            size = F.transform(some, lambda x: x["gap"] + F.length(x["s"]))
+            return F.zip_with(some, _running(size, 0, _add), lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + F.length(x["s"])).alias("end"), x["s"].alias("s"), x["before"].alias("before")))
+
+        return _let(pairs, spans)
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def _digits(s: Column) -> Column:
@@ -92,10 +146,9 @@ def _sign(plus: Column, minus: Column) -> Column:
     return F.when(plus, 1).when(minus, -1).otherwise(0)
 
 
-def _described(kind: str, text: Column, x: Column) -> Column:
+def _described(kind: str, x: Column) -> Column:
     """A candidate with its votes and features."""
-    s = x["s"]
-    before = F.substr(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
+    s, before = x["s"], x["before"]
     valid = _valid(kind, s)
     digits = F.length(_digits(s))
     size = F.length(s)
@@ -117,21 +170,37 @@ def _described(kind: str, text: Column, x: Column) -> Column:
     )
 
 
-def _describer(kind: str, text: Column):
-    return lambda x: _described(kind, text, x)
+def _describer(kind: str):
+    return lambda x: _described(kind, x)
+
+
+def _apart(some: Column, others: Column) -> Column:
+    """Those of `some` that overlap none of `others`, both with start and end; `some` don't overlap each other.
+
+    In the order of the one's end and the other's start: an overlap is there
+    if what starts before the one's end reaches beyond its start.
+    """
+    event = lambda at, flag, end, x: F.struct(at.alias("at"), F.lit(flag).alias("flag"), end.alias("end"), x.alias("x"))
+    mixed = F.array_sort(F.concat(F.transform(some, lambda x: event(x["end"], 0, F.lit(0), x)), F.transform(others, lambda y: event(y["start"], 1, y["end"], y))))
+
+    def kept(events: Column) -> Column:
+        reach = _running(F.transform(events, lambda e: e["end"]), 0, _larger)
+        free = F.zip_with(events, reach, lambda e, r: F.when((e["flag"] == 0) & (r <= e["x"]["start"]), e["x"]))
+        return F.filter(free, lambda x: x.isNotNull())
+
+    return _let(mixed, kept)
 
 
 def candidates(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep`, and cands: all candidates by kind as listed, then start."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,s:string>>)")
+    none = F.expr("cast(array() as array<struct<start:int,end:int,s:string,before:string>>)")
     out = docs.select(*(F.col(c).alias(f"keep_{c}") for c in keep), text.alias("body"))
     for kind in KINDS:
         out = out.withColumn(f"raw_{kind}", F.when(F.rlike("body", F.lit(HINTS[kind])), _found(F.col("body"), PATTERNS[kind])).otherwise(none))
     other = F.concat(*(F.filter(f"raw_{k}", _validator(k)) for k in BASE_KINDS))
-    apart = F.filter("raw_secret", lambda x: ~F.exists(other, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    out = out.withColumn("raw_secret", F.when(F.size("raw_secret") > 0, apart).otherwise(none))
-    found = [F.transform(f"raw_{k}", _describer(k, F.col("body"))) for k in KINDS]
+    out = out.withColumn("raw_secret", F.when(F.size("raw_secret") > 0, _apart(F.col("raw_secret"), other)).otherwise(none))
+    found = [F.transform(f"raw_{k}", _describer(k)) for k in KINDS]
     return out.select(*(F.col(f"keep_{c}").alias(c) for c in keep), F.concat(*found).alias("cands"))
 
 
@@ -224,11 +293,20 @@ def report(found: DataFrame) -> DataFrame:
 def redacted(text: Column, spans: Column) -> Column:
     """text with each span replaced by its kind in brackets; overlapping spans become one gap after the other."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def add(acc: Column, s: Column) -> Column:
-        new = s["end"] > acc["at"]
-        gap = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"))
+    def rewritten(some: Column, part) -> Column:
+        def joined(at: Column) -> Column:
+            out = F.zip_with(some, at, lambda s, a: F.when(s["end"] > a, F.concat(part(a, F.greatest(s["start"], a)), F.lit("["), s["kind"], F.lit("]"))).otherwise(""))
+            last = F.greatest(F.element_at(at, -1), F.element_at(some, -1)["end"])
+            return F.concat(F.array_join(out, ""), part(last, F.length(text)))
+
+        return _let(_running(F.transform(some, lambda s: s["end"]), 0, _larger), joined)
+
+    def by_place(some: Column) -> Column:
+        return rewritten(some, lambda a, b: F.substr(text, a + 1, b - a))
+
+    def by_characters(some: Column) -> Column:
+        # A place in a text is found by counting from its start; in an array it isn't.
+        return _let(F.split(text, ""), lambda letters: rewritten(some, lambda a, b: F.array_join(F.slice(letters, a + 1, b - a), "")))
 
-    return F.aggregate(order, empty, add, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    return _let(order, lambda some: F.when(F.size(some) == 0, text).when(F.size(some) <= BLOCK, by_place(some)).otherwise(by_characters(some)))
