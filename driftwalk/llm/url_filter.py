@@ -1,14 +1,18 @@
 """Operator 3: URL filter: host and path rules, and gradient-boosted trees for all other URLs.
 
-The trees learn from URLs that a rule decides, a sample of at most
-`sample_rows` of them chosen by a hash of the URL (a documented bound). They
-see lexical features alone: lengths, depth, digit ratio, entropy, counts of
-parameters, and block rates and supports of the host's last labels, counted
-over all distinct URLs that a rule decides and joined to the rows.
+The trees learn from labelled URLs, or where none are given from those that a
+rule decides: a sample of at most `sample_rows` of them chosen by a hash of the
+URL (a documented bound). They see lexical features alone: lengths, depth,
+digit ratio, entropy, counts of parameters, and block rates and supports of the
+host's last labels, counted over all distinct labelled URLs and joined to the
+rows. Suffixes that rules name have no statistics: they would but repeat the rule.
 
 Null URLs and those without `://`: empty host and path, no rule, judged by the
-trees like any other. Repeated rows are judged each. Without labelled URLs of
-both kinds the verdict of URLs without a rule is the one that occurs, else allow.
+trees like any other. Repeated rows are judged each; of a URL that is labelled
+both ways, the block counts. Rules of equal length: the first listed. Without labelled
+URLs of both kinds the verdict of URLs without a rule is the one that occurs,
+else allow. An empty table gives no rows. Very long URLs are read whole, in
+linear time.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ def split_url(url: Column) -> tuple[Column, Column]:
 def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, else nulls. Longest: of rule text, then the first."""
     rule = verdict = F.lit(None).cast("string")
-    for suffix, prefix, what in sorted(rules, key=lambda r: len(r[0] + r[1])):
+    for suffix, prefix, what in sorted(reversed(rules), key=lambda r: len(r[0] + r[1])):
         fits = ((host == suffix) | F.endswith(host, F.lit("." + suffix))) & F.startswith(path, F.lit(prefix))
         rule = F.when(fits, F.lit(suffix + prefix)).otherwise(rule)
         verdict = F.when(fits, F.lit(what)).otherwise(verdict)
@@ -176,16 +180,24 @@ class UrlModel:
         return self.trees.probability(self.features(urls, statistics))
 
 
-def judge(pages: DataFrame, rules=RULES, sample_rows: int = 20_000, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(page_id, host, path, rule, verdict, block_score); block_score is null where a rule decides."""
+def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, sample_rows: int = 20_000, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(page_id, host, path, rule, verdict, block_score); block_score is null where a rule decides.
+
+    labelled(url, verdict): URLs to learn from, verdict allow or block.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
     host, path = split_url(F.col("url"))
     rows = rows.withColumn("host", host).withColumn("path", path)
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     ruled = rows.withColumn("rule", rule).withColumn("verdict", verdict)
-    labelled = ruled.where("verdict IS NOT NULL")
-    distinct = labelled.select("url", "host", "verdict").dropDuplicates(["url"])
-    counts = staged(suffix_counts(distinct), "url-suffixes")
+    decided = ruled.where("verdict IS NOT NULL")
+    if labelled is None:
+        known = decided.select("url", "host", "verdict")
+    else:
+        known = labelled.select(F.col("url").cast("string").alias("url"), "verdict").where("url IS NOT NULL AND verdict IS NOT NULL").select("url", host.alias("host"), "verdict")
+    distinct = known.groupBy("url").agg(F.first("host").alias("host"), F.max("verdict").alias("verdict"))  # block, if both occur
+    named = [suffix for suffix, _, _ in rules]
+    counts = staged(suffix_counts(distinct).where(~F.col("suffix").isin(named)) if named else suffix_counts(distinct), "url-suffixes")
     total = distinct.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("verdict") == "block").cast("long")), F.lit(0)).alias("blocked")).first()
     sample = with_statistics(distinct.select(F.xxhash64("url").alias("h"), "url", "host", "verdict").orderBy("h", "url").limit(sample_rows), counts).orderBy("h", "url").collect()
     held = pages.sparkSession.sparkContext.broadcast(UrlModel(sample, total.n, total.blocked))
@@ -199,4 +211,4 @@ def judge(pages: DataFrame, rules=RULES, sample_rows: int = 20_000, threshold: f
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     judged = with_statistics(ruled.where("verdict IS NULL"), counts).mapInArrow(decide, "page_id long, host string, path string, rule string, verdict string, block_score double")
-    return labelled.select("page_id", "host", "path", "rule", "verdict", F.lit(None).cast("double").alias("block_score")).unionByName(judged)
+    return decided.select("page_id", "host", "path", "rule", "verdict", F.lit(None).cast("double").alias("block_score")).unionByName(judged)
