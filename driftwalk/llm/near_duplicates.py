@@ -20,6 +20,7 @@ memory is bounded, nothing is capped. Steps 3 and 4 compare sketches of all
 pairs in a group at worst, but visited classes leave the work, so a group of
 mutual near copies costs as many comparisons as it has members.
 
+A very long text takes time and memory in proportion to its words.
 Null or empty text, or text of blanks: the empty set, linked with nothing.
 Rows of null doc_id link nothing, and have a null component and kept = false.
 Repeated ids with different texts are judged text by text. An empty table
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwalk.llm.common import shuffle_partitions, staged, two_columns
+from driftwalk.llm.common import runs, shuffle_partitions, staged, two_columns
 from driftwalk.operators.graph import components
 
 WORDS, SAMPLES, BANDS, SKETCH_BITS = 5, 128, 32, 512
@@ -45,6 +46,9 @@ PERCENT = 75
 #: Classes of a bucket, and shingles of a cluster, that a task holds of each of two chunks.
 BUCKET_CHUNK, CLUSTER_CHUNK = 4096, 2_000_000
 
+#: Bytes of text whose shingles a worker turns into rows at once, but for a longer text.
+RUN_BYTES = 2_000_000
+
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)  # mixing factors
 _random = np.random.default_rng(4)
 _FACTORS = _random.integers(0, 1 << 31, SAMPLES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -137,10 +141,9 @@ FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp",
 def _features(batches):
     with np.errstate(over="ignore"):
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(ids), 512):
+            for run in runs(batch, "text", RUN_BYTES, each=2000):
                 rows = []
-                for i, text in zip(ids[at : at + 512], texts[at : at + 512], strict=True):
+                for i, text in zip(run.column("doc_id").to_pylist(), run.column("text").to_pylist(), strict=True):
                     s = shingle_set(text)
                     if not len(s):
                         rows.append((i, 0, None, None, None))
@@ -153,8 +156,7 @@ def _features(batches):
 def _sets(batches):
     schema = pa.schema([("cluster", pa.binary()), ("fp", pa.binary()), ("chunks", pa.int32()), ("sketch", pa.binary()), ("shingles", pa.binary())])
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for part in runs(batch, "text", RUN_BYTES, each=2000):
             rows = []
             for cluster, fp, chunks, sketch, text in zip(*(part.column(c).to_pylist() for c in ("cluster", "fp", "chunks", "sketch", "text")), strict=True):
                 s = shingle_set(text)
@@ -279,14 +281,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = staged(_both_ways(links), "neardup-links")
     linked = components(links, links.select(F.col("src").alias("vertex"))).select(F.col("vertex").alias("fp"), "component")
 
-    smallest = linked.join(classes.select("fp", "label"), "fp").withColumn("least", F.min("label").over(_by("component"))).select("fp", "least")
+    named = linked.join(classes.select("fp", "label"), "fp")
+    least = named.groupBy("component").agg(F.min("label").alias("least"))
+    smallest = named.select("fp", "component").join(least, "component").select("fp", "least")
     label = classes.select("fp", "label").join(smallest, "fp", "left").select("fp", F.coalesce("least", "label").alias("component_id"))
     found = features.select("doc_id", "n_shingles", "fp").join(label, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
-
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
