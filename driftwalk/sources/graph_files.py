@@ -16,15 +16,17 @@ def read_adjacency_text(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     """(vertices(vertex, n), edges(src, dst)) of an adjacency text file.
 
     Tokens: the header word (may be missing), n, m, n offsets, m targets. Lines
-    are numbered by range, so a file of one token a line is read in parallel.
+    are numbered by blocks of files, in the order of the files' names and the
+    blocks' places, so a file of one token a line is read in parallel.
     Raises ValueError if the number of tokens doesn't fit.
     """
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    tokens = lines.select("line", F.posexplode(F.split("value", r"[\s\x00]+")).alias("k", "token")).where("token <> ''")
-    tokens = tokens.where(F.col("token") != TEXT_HEADER).withColumn("block", F.shiftright("line", 33))
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), block.alias("block"), "value")
+    tokens = lines.select("line", "block", F.posexplode(F.split("value", r"[\s\x00]+")).alias("k", "token")).where("token <> ''")
+    tokens = tokens.where(F.col("token") != TEXT_HEADER)
     sizes = tokens.groupBy("block").agg(F.count("*").alias("c"))
     before = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("block", "before")
-    numbered = tokens.withColumn("k", F.row_number().over(Window.partitionBy("block").orderBy("line", "k")) - 1).join(F.broadcast(before), "block")
+    numbered = tokens.withColumn("k", F.row_number().over(Window.partitionBy("block").orderBy("line", "k")) - 1).join(before, "block")
     numbered = numbered.select((F.col("before") + F.col("k")).alias("i"), F.col("token").cast("long").alias("x"))
     head = {r.i: r.x for r in numbered.where("i < 2").collect()}
     n, m = head.get(0, 0), head.get(1, 0)
@@ -40,7 +42,7 @@ def read_adjacency_text(spark: SparkSession, path: str) -> tuple[DataFrame, Data
 
 
 def write_adjacency_text(edges: DataFrame, n: int, path: str) -> None:
-    """One token a line, in order: header, n, m, offsets, targets."""
+    """One token a line, in order: header, n, m, offsets, targets; the order goes on from part file to part file by name."""
     from driftwalk.operators.ordered import prefix_sums
 
     spark = edges.sparkSession
@@ -196,7 +198,10 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_embeddings(model: DataFrame, path: str, min_count: int = 0) -> None:
-    """model(word, count, input, output): the mean of both vectors as text, after a header line `count dim`."""
+    """model(word, count, input, output): the mean of both vectors as text, after a header line `count dim`.
+
+    The header stands first in the first part file by name.
+    """
     kept = model.where(F.col("count") >= min_count).select("word", F.zip_with("input", "output", lambda a, b: (a + b) / 2).alias("vector")).cache()
     first = kept.select(F.size("vector")).first()
     head = kept.sparkSession.createDataFrame([(0, f"{kept.count()} {first[0] if first else 0}")], "part int, value string")
