@@ -36,9 +36,7 @@ def op1_personal_data(spark, sf_dir):
 
 @_register
 def op2_sentencepieces(spark, sf_dir):
-    path = _tokenizer("piece_bpe_32k.model")
-    rows = sentencepieces.sample_segmentations(_read(spark, sf_dir, "documents"), path)
-    return sentencepieces.decode_ids(rows, path, keep=tuple(rows.columns[1:]))
+    return sentencepieces.sample_segmentations(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), with_text=True)
 
 
 @_register

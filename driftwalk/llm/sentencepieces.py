@@ -17,6 +17,9 @@ number and the position: batches and retries don't change them.
 
 Pieces hold blanks at their start alone (checked), so the lattice falls into
 chunks, blanks and what follows; equal chunks of a run share their tables.
+Sums and walks go through all short chunks of a run together, and through a
+chunk of more than LONG characters (scripts without blanks, encoded data) place
+by place, in blocks: time and memory are linear in the longest text.
 
 Null and empty text: one segmentation without pieces. Texts with fewer than k
 segmentations give fewer rows. Rows of equal id draw alike; a null id counts
@@ -26,20 +29,23 @@ its place. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from driftwalk.llm.common import slices, two_columns
+from driftwalk.llm.common import runs, two_columns
 
 BLANK = "▁"
 _CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
-#: Characters of text whose lattice a worker holds at once.
-RUN_CHARS = 60_000
+#: Bytes of text whose lattice a worker holds at once, but for a longer text.
+RUN_BYTES = 100_000
+#: Characters of a chunk that is gone through place by place, and of a block of it.
+LONG, BLOCK = 400, 1 << 15
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # mixing factors
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -81,7 +87,7 @@ def truncated(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndar
 
 def _multiples(x: np.ndarray, bits: int) -> np.ndarray:
     """Rounded to multiples of 2 ** -bits: their sums are exact, so the texts beside one don't change its results."""
-    return np.ldexp(np.rint(np.ldexp(x, bits)), -bits)
+    return np.rint(x * float(1 << bits)) * (1.0 / (1 << bits))
 
 
 class Model:
@@ -127,6 +133,9 @@ class Model:
         self.shift = np.uint64(64 - bits)
         self.slots = np.searchsorted(self.keys, np.arange((1 << bits) + 1, dtype=np.uint64) << self.shift).astype(np.int32)
         self.slots[-1] = len(self.keys)
+        self.single = np.full(0x110000, -2, np.int32)  # what lookup() gives for single characters
+        letters = sorted({ord(pieces[i][0]) for i in plain})
+        self.single[letters] = self.lookup(self._extend(np.zeros(len(letters), np.uint64), np.array(letters, np.uint64)))
 
     @staticmethod
     def _extend(key: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -165,7 +174,7 @@ class Lattice:
         ends = np.cumsum(size)
         self.base, n = ends - size, len(codes)
         left = np.repeat(ends, size) - np.arange(n)  # characters from here to the chunk's end
-        found, counts = [], np.zeros(n + 1, np.int64)
+        found, counts = [], np.zeros(n, np.int64)
         at, key = np.arange(n), np.zeros(n, np.uint64)
         for length in range(1, model.longest + 1):
             if length > 1:
@@ -173,48 +182,87 @@ class Lattice:
                 at, key = at[fits], key[fits]
             if not len(at):
                 break
-            key = model._extend(key, codes[at + length - 1].astype(np.uint64))
-            piece = model.lookup(key)
             if length == 1:
-                found.append((at, np.where(piece < 0, model.size + codes[at], piece)))
+                piece = model.single[codes]
+                found.append((at, np.where(piece < 0, model.size + codes, piece)))
+                key = model._extend(key, codes.astype(np.uint64))
             else:
+                key = model._extend(key, codes[at + length - 1].astype(np.uint64))
+                piece = model.lookup(key)
                 hit = piece >= 0
                 found.append((at[hit], piece[hit]))
             counts[found[-1][0]] += 1  # a place has one edge of a length at most
             alive = piece > -2
             at, key = at[alive], key[alive]
-        self.first = np.cumsum(counts) - counts
-        edges, used = int(counts.sum()), self.first.copy()
+        # Places by their distance to the chunk's end, those of long chunks last: edges stand in the order in which sums are made.
+        short = size <= LONG
+        longest = int(size[short].max(initial=0))
+        stage = np.where(np.repeat(short, size), left, longest + 1).astype(np.uint16 if longest < 65_000 else np.int64)
+        order = np.argsort(stage, kind="stable")
+        sorted_counts = counts[order]
+        heads = np.append(0, np.cumsum(sorted_counts))
+        self.first = np.zeros(n, np.int64)
+        self.first[order] = heads[:-1]
+        self.last = self.first + counts - 1
+        edges, used = int(heads[-1]), self.first.copy()
         self.length, self.piece = np.zeros(edges, np.int64), np.zeros(edges, np.int64)
         for length, (where, piece) in enumerate(found, 1):
             self.length[used[where]], self.piece[used[where]] = length, piece
             used[where] += 1
-        start = np.repeat(np.arange(n + 1), counts)
-        own = self.piece < model.size
-        weight = np.where(own, model.weights[np.where(own, self.piece, 0)], 0.0)
-        if not own.all():
+        if (self.piece < model.size).all():
+            weight = model.weights[self.piece]
+        else:
+            own = self.piece < model.size
+            weight = np.where(own, model.weights[np.where(own, self.piece, 0)], 0.0)
             code = self.piece[~own] - model.size
             weight[~own] = model.byte_weight * (1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
         # Sums over all completions, from the chunks' ends; places of equal distance at once.
-        total = np.zeros(n + 1)
-        falling = ends[np.argsort(-size, kind="stable")]
-        reach = len(size) - np.searchsorted(np.sort(size), np.arange(int(size.max(initial=0)) + 1))
-        for distance in range(1, int(size.max(initial=0)) + 1):
-            nodes = falling[: reach[distance]] - distance
-            many = counts[nodes]
-            head = np.cumsum(many) - many
-            e = np.repeat(self.first[nodes] - head, many) + np.arange(int(many.sum()))
-            to = np.repeat(nodes, many) + self.length[e]
-            value = weight[e] + np.where(self.length[e] < distance, total[to], 0.0)
-            top = np.maximum.reduceat(value, head)
-            total[nodes] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, many)), head))
-        after = np.where(self.length < left[start], total[np.minimum(start + self.length, n)], 0.0)
-        self.log_p = _multiples(weight + after - total[start], 26)
-        p = _multiples(np.exp(self.log_p), 32)
-        run = np.cumsum(p)
-        before = np.append(0, run)[self.first[:-1]]
-        self.upto = run - before[start]
-        self.last = self.first[1:] - 1
+        # Of each edge: log weight of itself and all completions, and its share of its place's.
+        total, self.value, share = np.zeros(n + 1), np.zeros(edges), np.zeros(edges)
+        start = np.repeat(order, sorted_counts)
+        to = np.where(self.length < left[start], start + self.length, n)  # the last of total stands for a chunk's end
+        cuts = np.searchsorted(stage[order], np.arange(1, longest + 2)).tolist()
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if x < y:
+                nodes, many, a, b = order[x:y], sorted_counts[x:y], heads[x], heads[y]
+                head, value = heads[x:y] - a, self.value[a:b]
+                np.add(weight[a:b], total[to[a:b]], out=value)
+                top = np.maximum.reduceat(value, head)
+                np.exp(value - np.repeat(top, many), out=share[a:b])
+                whole = np.add.reduceat(share[a:b], head)
+                share[a:b] /= np.repeat(whole, many)
+                total[nodes] = top + np.log(whole)
+        for k in np.flatnonzero(~short).tolist():
+            self._long_sums(int(self.base[k]), int(ends[k]), weight, total, share, model.longest)
+        self.total = total
+        run = np.cumsum(_multiples(share, 32))
+        self.upto = run - np.repeat(np.append(0, run)[heads[:-1]], sorted_counts)
+
+    def log_p(self, edge: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Log-probabilities of edges that leave the places `row`."""
+        return _multiples(self.value[edge] - self.total[row], 26)
+
+    def _long_sums(self, begin: int, end: int, weight: np.ndarray, total: np.ndarray, share: np.ndarray, longest: int) -> None:
+        """total of a long chunk's places, and value and share of its edges, block by block from its end."""
+        beyond = [0.0] * longest  # sums at a block's end and after it
+        for high in range(end, begin, -BLOCK):
+            low = max(begin, high - BLOCK)
+            first = [*self.first[low:high].tolist(), int(self.last[high - 1]) + 1]
+            length, own = self.length[first[0] : first[-1]].tolist(), weight[first[0] : first[-1]].tolist()
+            base, sums = first[0], [0.0] * (high - low) + beyond
+            for i in range(high - low - 1, -1, -1):
+                a, b = first[i] - base, first[i + 1] - base
+                values = own[a:b] = [own[e] + sums[i + length[e]] for e in range(a, b)]
+                if len(values) == 1:
+                    sums[i] = values[0]
+                else:
+                    top = max(values)
+                    sums[i] = top + math.log(sum([math.exp(v - top) for v in values]))
+            total[low:high] = sums[: high - low]
+            inside = slice(first[0], first[-1])
+            self.value[inside] = own
+            share[inside] = np.exp(self.value[inside] - np.repeat(total[low:high], np.diff(first)))
+            beyond = sums[:longest]
 
     def choose(self, row: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each start, by running sums."""
@@ -226,19 +274,17 @@ class Lattice:
         return edge
 
 
-def _chunks(model: Model, text: str | None) -> list[str]:
-    s = model.normalized(text) if text else ""
-    if BLANK + BLANK not in s and s[:1] == BLANK:
-        return [BLANK + p for p in s[1:].split(BLANK)]
-    return _CHUNK.findall(s)
-
-
-class _Numbers(dict):
-    """Numbers keys as they come."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = number = len(self)
-        return number
+def _numbered(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct chunks, number of each chunk of all texts, chunks of each text)."""
+    whole = [model.normalized(t) if t else "" for t in texts]
+    if all(s[:1] == BLANK and BLANK + BLANK not in s for s in whole):
+        cut = pc.split_pattern(pa.array([s[1:] for s in whole], pa.large_string()), BLANK)
+        coded = pc.dictionary_encode(cut.values)
+        chunks = [BLANK + p for p in coded.dictionary.to_numpy(zero_copy_only=False)]
+        return chunks, coded.indices.to_numpy().astype(np.int64), np.diff(cut.offsets.to_numpy()).astype(np.int64)
+    lists = [_CHUNK.findall(s) for s in whole]
+    coded = pc.dictionary_encode(pa.array([c for x in lists for c in x], pa.large_string()))
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), np.array([len(x) for x in lists], np.int64)
 
 
 class Sampler:
@@ -246,11 +292,7 @@ class Sampler:
 
     def __init__(self, model: Model, texts: list[str | None], keys: np.ndarray):
         self.model, self.n = model, len(texts)
-        cut = [_chunks(model, t) for t in texts]
-        per = np.array([len(x) for x in cut], np.int64)
-        numbers = _Numbers()
-        index = np.fromiter(map(numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(per.sum()))
-        chunks = list(numbers)
+        chunks, index, per = _numbered(model, texts)
         self.lattice = Lattice(model, chunks)
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))[index]
         self.occ_end = np.cumsum(size)
@@ -272,6 +314,11 @@ class Sampler:
     def _walk(self, at: np.ndarray, sample: int, edges: np.ndarray) -> None:
         """Samples edges from each start on, to the end of its chunk."""
         of = stream(self.keys, sample, 0)
+        far = self.end[at] - at > LONG
+        if far.any():
+            for start in at[far].tolist():
+                self._long_walk(start, of, edges)
+            at = at[~far]
         while len(at):
             doc = self.doc[at]
             edge = self.lattice.choose(self.row[at], drawn(of[doc], at - self.doc_start[doc]))
@@ -279,13 +326,26 @@ class Sampler:
             after = at + self.lattice.length[edge]
             at = after[after < self.end[at]]
 
+    def _long_walk(self, at: int, of: np.ndarray, edges: np.ndarray) -> None:
+        """As _walk, from one start: all places of a block draw their edges, then the path is followed."""
+        doc, end = int(self.doc[at]), int(self.end[at])
+        while at < end:
+            low, high = at, min(end, at + BLOCK)
+            places = np.arange(low, high)
+            edge = self.lattice.choose(self.row[low:high], drawn(of[doc : doc + 1], places - self.doc_start[doc]))
+            ahead, path = (places + self.lattice.length[edge]).tolist(), []
+            while at < high:
+                path.append(at)
+                at = ahead[at - low]
+            edges[path] = edge[np.array(path) - low]
+
     def _draws_of_rest(self, edge: np.ndarray, before: np.ndarray, at: np.ndarray, sample: int) -> np.ndarray:
         """Perturbed log-probability of what else leaves each start, not yet truncated by its path's key.
 
         Truncation by one bound keeps the order, so it can wait for the largest.
         """
         lattice, row, doc = self.lattice, self.row[at], self.doc[at]
-        p = np.exp(lattice.log_p[edge])
+        p = np.exp(lattice.log_p(edge, row))
         with np.errstate(divide="ignore"):
             location = np.where(lattice.first[row] == lattice.last[row], -np.inf, before + np.log(np.maximum(1 - p, 0)))
         return location + gumbel(drawn(stream(self.keys, sample, 1)[doc], at - self.doc_start[doc]))
@@ -328,7 +388,7 @@ class Sampler:
                 later = self.occ_start[alive[self.occ_doc] & (self.occ_start > branch[self.occ_doc])]
                 self._walk(np.concatenate([inside, later]), number, edges)
             at = np.flatnonzero(edges >= 0)
-            run = np.append(0, np.cumsum(lattice.log_p[edges[at]]))
+            run = np.append(0, np.cumsum(lattice.log_p(edges[at], self.row[at])))
             cuts = np.searchsorted(at, np.append(self.doc_start, len(self.row)))
             head = run[cuts[:-1]]
             rounds.append((edges, bound.copy(), run[np.searchsorted(at, self.doc_end)] - head, alive.copy()))
@@ -356,17 +416,21 @@ class Sampler:
     def _other(self, x: dict, slot: int, t: int, d: int, number: int, bound: float) -> int:
         """An edge from t that no earlier path took; what remains there gets a new key."""
         lattice, row = self.lattice, int(self.row[t])
-        options = np.arange(lattice.first[row], lattice.last[row] + 1)
+        first, last = int(lattice.first[row]), int(lattice.last[row])
         taken = x["taken"].setdefault(slot, [int(x["edges"][t])])
-        left = options[~np.isin(options, taken)]
-        p = np.exp(lattice.log_p[left])
-        here, place = np.array([t]), self._place(np.array([t]))
+        left = [e for e in range(first, last + 1) if e not in taken]
+        log_p = lattice.log_p(np.array(left), np.array([row])).tolist()
+        p, here, place = list(map(math.exp, log_p)), np.array([t]), np.array([t - int(self.doc_start[d])])
         key = self.keys[self.doc[here]]
-        pick = int(left[min(int(np.searchsorted(np.cumsum(p), uniform(key, number, place, 3)[0] * p.sum())), len(left) - 1)])
+        target, k = float(uniform(key, number, place, 3)[0]) * sum(p), 0
+        while k < len(p) - 1 and target > p[k]:
+            target, k = target - p[k], k + 1
+        pick = left[k]
         taken.append(pick)
-        rest = lattice.log_p[left[left != pick]]
-        location = np.array([x["before"][slot] + np.logaddexp.reduce(rest)]) if len(rest) else np.array([-np.inf])
-        left_key = float(truncated(location, np.array([bound]), uniform(key, number, place, 4))[0])
+        rest = log_p[:k] + log_p[k + 1 :]
+        top = max(rest, default=-math.inf)
+        location = float(x["before"][slot]) + top + math.log(sum(math.exp(v - top) for v in rest)) if rest else -math.inf
+        left_key = float(truncated(np.array([location]), np.array([bound]), uniform(key, number, place, 4))[0])
         # Stored so that truncation by the path's own key gives it back.
         own = float(x["bound"][d])
         x["draws"][slot] = left_key - np.log(-np.expm1(min(left_key - own, -1e-300))) if np.isfinite(left_key) else -np.inf
@@ -407,42 +471,71 @@ def worker_model(path: str) -> Model:
     return _models[path]
 
 
-SAMPLES = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_crc32", pa.int64()), ("log_prob", pa.float64()), ("key", pa.float64()), ("inclusion", pa.float64()), ("decodes", pa.bool_())])
-SAMPLES_SQL = "doc_id long, sample int, n_pieces long, ids array<int>, ids_crc32 long, log_prob double, key double, inclusion double, decodes boolean"
+SAMPLES = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_crc32", pa.int64()), ("log_prob", pa.float64()), ("key", pa.float64()), ("inclusion", pa.float64()), ("decodes", pa.bool_()), ("text", pa.string())])
+SAMPLES_SQL = "doc_id long, sample int, n_pieces long, ids array<int>, ids_crc32 long, log_prob double, key double, inclusion double, decodes boolean, text string"
+
 
+def decoded_texts(model: Model, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The text of each run of ids (the k-th ends at ends[k]): bytes of its pieces, without the first blank."""
+    spelled, upto = decoded_bytes(model, ids)
+    edges = np.append(0, upto)[np.append(0, ends)]
+    pool = np.frombuffer(spelled, np.uint8)
+    some = edges[:-1] < edges[1:]
+    lead = edges[:-1][some][pool[edges[:-1][some]] == 32]
+    cut = np.delete(pool, lead).tobytes()
+    edges = edges - np.searchsorted(lead, edges)
+    try:
+        cut.decode()
+    except UnicodeDecodeError:  # ids that don't stem from a text
+        return pa.array([cut[a:b].decode("utf-8", "replace") for a, b in zip(edges, edges[1:], strict=False)], pa.string())
+    return pa.StringArray.from_buffers(len(ends), pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(cut))
 
-def sample_rows(model: Model, ids: list[int | None], texts: list[str | None], k: int, seed: int, with_ids: bool):
-    """Rows of SAMPLES for a run of texts."""
+
+def sample_batches(model: Model, ids: list[int | None], texts: list[str | None], k: int, seed: int, with_text: bool = True):
+    """Arrow batches of SAMPLES for a run of texts, one a round."""
     keys = np.array([-1 if i is None else i for i in ids], np.int64) ^ np.int64(seed << 32)
     sampler = Sampler(model, texts, keys)
     *rounds, (after,) = sampler.run(k)
-    expected, rows = [(t or "").replace(BLANK, " ").encode("utf-8", "surrogatepass") for t in texts], []
-    for number, (edges, key, log_p, alive) in enumerate(rounds):
+    expected = pa.array([(t or "").replace(BLANK, " ") for t in texts], pa.string())
+    for number, (edges, key, log_p, alive) in enumerate(rounds, 1):
+        some = np.flatnonzero(alive)
+        if not len(some):
+            break
         flat, counts = sampler.ids(edges)
+        counts = counts[some]  # the others have no ids
         ends = np.cumsum(counts)
-        raw = flat.astype("<u4").tobytes()
-        spelled, upto = decoded_bytes(model, flat)
-        upto = np.append(0, upto)[np.append(0, ends)].tolist()
+        raw, at = memoryview(flat.astype("<u4")).cast("B") if len(flat) else b"", (4 * np.append(0, ends)).tolist()
         with np.errstate(over="ignore"):
             inclusion = np.where(np.isneginf(after), 1.0, -np.expm1(-np.exp(np.minimum(log_p - after, 700))))
-        for d in np.flatnonzero(alive).tolist():
-            a, b = int(ends[d] - counts[d]), int(ends[d])
-            same = spelled[upto[d] : upto[d + 1]].removeprefix(b" ") == expected[d]
-            rows.append((ids[d], number + 1, b - a, flat[a:b].tolist() if with_ids else None, zlib.crc32(raw[4 * a : 4 * b]), float(log_p[d]), float(key[d]), float(inclusion[d]), same))
-    return rows
+        text = decoded_texts(model, flat, ends)
+        same = pc.equal(text, expected.take(pa.array(some)))
+        listed = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat.astype(np.int32)))
+        columns = [
+            pa.array([ids[d] for d in some.tolist()], pa.int64()), pa.array(np.full(len(some), number), pa.int32()), pa.array(counts, pa.int64()), listed, pa.array([zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.int64()),
+            pa.array(log_p[some], pa.float64()), pa.array(key[some], pa.float64()), pa.array(inclusion[some], pa.float64()), same, text if with_text else pa.nulls(len(some), pa.string()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, schema=SAMPLES)
+
+
+def sample_rows(model: Model, ids: list[int | None], texts: list[str | None], k: int, seed: int, with_ids: bool = True) -> list[tuple]:
+    """Rows of SAMPLES for a run of texts, as tuples without the decoded text."""
+    batches = sample_batches(model, ids, texts, k, seed, with_text=False)
+    return [(*row[:3], row[3] if with_ids else None, *row[4:9]) for batch in batches for row in map(tuple, map(dict.values, batch.to_pylist()))]
 
 
-def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, seed: int = 7, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sample, n_pieces, ids, ids_crc32, log_prob, key, inclusion, decodes), k rows a document at most."""
+def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, seed: int = 7, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, sample, n_pieces, ids, ids_crc32, log_prob, key, inclusion, decodes), k rows a document at most.
+
+    decodes: whether the ids decode to the text; with_text adds what they decode to.
+    """
     def encode(batches):
         model = worker_model(model_path)
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for run in slices(list(range(len(texts))), [len(t or "") + 1 for t in texts], RUN_CHARS):
-                rows = sample_rows(model, [ids[i] for i in run], [texts[i] for i in run], k, seed, with_ids)
-                yield pa.RecordBatch.from_pydict({f.name: [r[j] for r in rows] for j, f in enumerate(SAMPLES)}, SAMPLES)
+            for run in runs(batch, "text", RUN_BYTES):
+                yield from sample_batches(model, run.column("doc_id").to_pylist(), run.column("text").to_pylist(), k, seed, with_text)
 
-    return two_columns(docs, id_col, text_col).mapInArrow(encode, SAMPLES_SQL)
+    found = two_columns(docs, id_col, text_col).mapInArrow(encode, SAMPLES_SQL)
+    return found if with_text else found.drop("text")
 
 
 def decode_ids(rows: DataFrame, model_path: str, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -458,11 +551,10 @@ def decode_ids(rows: DataFrame, model_path: str, id_col: str = "doc_id", keep: t
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = part.column("ids")
-                ends = np.append(0, np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
-                spelled, upto = decoded_bytes(model, ids.flatten().to_numpy(zero_copy_only=False))
-                upto = np.append(0, upto)[ends].tolist()
-                texts = [spelled[a:b].decode("utf-8", "replace").removeprefix(" ") if known else None for a, b, known in zip(upto, upto[1:], ids.is_valid().to_pylist(), strict=False)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(texts, pa.string())], [*columns, "text"])
+                ends = np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))
+                texts = decoded_texts(model, ids.flatten().to_numpy(zero_copy_only=False), ends)
+                texts = pc.if_else(ids.is_valid(), texts, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), texts], [*columns, "text"])
 
     kept = rows.select(*columns).schema
     return rows.select(*dict.fromkeys([*columns, "ids"])).mapInArrow(back, kept.add("text", "string"))
