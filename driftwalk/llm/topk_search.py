@@ -12,7 +12,9 @@ blocks stop sooner.
 Candidates are packed into blocks once. Queries come in waves of bounded size:
 a wave is broadcast, each task reads blocks of candidates and keeps the k best
 of each query, and a wave's rows are written before the next one is read. So
-what is shuffled are the vectors, and k rows a query and task.
+what is shuffled are the vectors, and k rows a query and task. A first pass of
+the wave over one block gives each query a floor: the k-th best score of some
+candidates, which the k-th best of all can't be below.
 
 Vectors that are null or hold null or non-finite components take no part. A
 shorter vector counts as filled up by zeros. Scores that don't fit 63 bits
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 CANDIDATES, QUERIES = 8192, 512
 #: Bytes of query vectors that are broadcast at once.
 WAVE_BYTES = 16 << 20
+#: The floor of a query that has none.
+LOWEST = -(1 << 63)
 #: Entries read of each list between two looks at the bounds.
 DEPTH = 256
 
@@ -186,22 +190,44 @@ def top_k(df: DataFrame, query_filter: Column, k: int = 20, scale: int = 64, id_
     wave = next(waves, [])
     while wave is not None:
         later = next(waves, None)
-        best = candidates.repartition(min(lanes, spread)).mapInArrow(_search(spark.sparkContext.broadcast(wave), k), schema)
+        floors = _floors(spark, wave, candidates, k, lanes)
+        best = candidates.repartition(min(lanes, spread)).mapInArrow(_search(spark.sparkContext.broadcast((wave, floors)), k), schema)
         best = best if later is None else staged(best, "topk-wave")
         found, wave = best if found is None else found.unionByName(best), later
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _floors(spark, wave: list, candidates: DataFrame, k: int, lanes: int) -> list[np.ndarray]:
+    """For each query of a wave, the k-th best score in one block of candidates; a query block is a task."""
+    some = [(bytes(r.c_ids), r.c_dims, bytes(r.c_data)) for r in candidates.limit(1).collect()]
+    if not wave or not some:
+        return [np.full(len(ids) // 8, LOWEST) for ids, _, _ in wave]
+    held = spark.sparkContext.broadcast((wave, some[0]))
+
+    def first(batches):
+        queries, block = held.value
+        for batch in batches:
+            for j in batch.column("id").to_pylist():
+                best, own = {}, _unpack(*queries[j])
+                _compare(best, [own], None, *_unpack(*block), k)
+                floor = np.array([best[0, i][1][-1] if len(best[0, i][1]) >= k else LOWEST for i in range(len(own[0]))], "<i8")
+                yield pa.RecordBatch.from_pydict({"id": [j], "floor": [floor.tobytes()]}, pa.schema([("id", pa.int64()), ("floor", pa.binary())]))
+
+    found = {r.id: np.frombuffer(bytes(r.floor), "<i8") for r in spark.range(0, len(wave), 1, min(lanes, len(wave))).mapInArrow(first, "id long, floor binary").collect()}
+    return [found[j] for j in range(len(wave))]
+
+
 def _search(held, k: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def search(batches):
-        queries = [_unpack(*block) for block in held.value]
+        wave, floors = held.value
+        queries = [_unpack(*block) for block in wave]
         best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for ids, dims, data in zip(*(batch.column(c) for c in ("c_ids", "c_dims", "c_data")), strict=True):
-                _compare(best, queries, *_unpack(ids.as_py(), dims.as_py(), data.as_py()), k)
+                _compare(best, queries, floors, *_unpack(ids.as_py(), dims.as_py(), data.as_py()), k)
         for b, (ids, _) in enumerate(queries):
             own = [(np.full(len(best[b, i][0]), ids[i]), *best[b, i]) for i in range(len(ids)) if (b, i) in best]
             if own:
@@ -210,8 +236,8 @@ def _search(held, k: int):
     return search
 
 
-def _compare(best: dict, queries: list[tuple[np.ndarray, np.ndarray]], other: np.ndarray, values: np.ndarray, k: int) -> None:
-    """Takes a block of candidates into the k best (ids, scores) of each query."""
+def _compare(best: dict, queries: list[tuple[np.ndarray, np.ndarray]], floors: list[np.ndarray] | None, other: np.ndarray, values: np.ndarray, k: int) -> None:
+    """Takes a block of candidates into the k best (ids, scores) of each query, those of at least its floor."""
     widest = max([values.shape[1], *(v.shape[1] for _, v in queries)])
     lists = SortedLists(other, np.pad(values, ((0, 0), (0, widest - values.shape[1]))))
     for b, (ids, vectors) in enumerate(queries):
@@ -220,8 +246,12 @@ def _compare(best: dict, queries: list[tuple[np.ndarray, np.ndarray]], other: np
         vectors = np.pad(vectors, ((0, 0), (0, widest - vectors.shape[1])))
         for i in range(len(ids)):
             old = best.get((b, i))
-            floor = int(old[1][-1]) if old is not None and len(old[1]) >= k else None
+            floor = int(floors[b][i]) if floors is not None and floors[b][i] > LOWEST else None
+            if old is not None and len(old[1]) >= k:
+                floor = int(old[1][-1]) if floor is None else max(floor, int(old[1][-1]))
             rows, scores, _ = lists.top(int(ids[i]), vectors[i], k, floor)
+            if floor is not None:
+                rows, scores = rows[scores >= floor], scores[scores >= floor]
             v, s = other[rows], scores
             if old is not None:
                 v, s = np.concatenate([old[0], v]), np.concatenate([old[1], s])
