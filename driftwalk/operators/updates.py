@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftwalk.config import WalkConfig
 from driftwalk.operators.graph import clean_batch
 from driftwalk.operators.walks import STEP_COLUMNS, WalkGraph, as_steps, generate, id_domain, initial_walkers, run_walkers, starts_of
-from driftwalk.plans.materialise import cut, stored
+from driftwalk.plans.materialise import cut
 
 
 def affected_walks(live: DataFrame, batch: DataFrame, number: int) -> DataFrame:
@@ -182,8 +182,8 @@ class Corpus:
         The batch is set against the edges once; the edges themselves aren't written.
         """
         number = self.batch + 1
-        known = ["src", "dst"]
-        changed = cut(clean_batch(batch).join(self.edges, known, "left_semi" if delete else "left_anti"))
+        known, batch = ["src", "dst"], cut(clean_batch(batch))
+        changed = cut(batch.join(self.edges, known, "left_semi" if delete else "left_anti"))
         after = self.edges.join(changed, known, "left_anti") if delete else self.edges.select(*known).unionByName(changed)
         edge_change = changed.withColumn("present", F.lit(not delete))
         if not update_walks:
@@ -208,6 +208,6 @@ MAV_SCHEMA = "batch int, walk_id long, p_min int, vertex long, reset boolean"
 
 
 def new_corpus(edges: DataFrame, config: WalkConfig, vertices: DataFrame | None = None) -> Corpus:
-    edges = stored(edges.select("src", "dst"), "corpus-edges")
-    vertices = id_domain(edges) if vertices is None else vertices
-    return Corpus(edges, cut(generate(edges, config, vertices)), edges.sparkSession.createDataFrame([], MAV_SCHEMA), starts_of(vertices, config.walks_per_vertex), 0, config)
+    graph = WalkGraph(edges)
+    vertices = id_domain(graph.edges) if vertices is None else vertices
+    return Corpus(graph.edges, cut(generate(None, config, vertices, graph=graph)), edges.sparkSession.createDataFrame([], MAV_SCHEMA), starts_of(vertices, config.walks_per_vertex), 0, config)

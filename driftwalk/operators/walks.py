@@ -182,9 +182,9 @@ def id_domain(edges: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.range(0, n, 1, partitions).select(F.col("id").alias("vertex"), F.lit(n).cast("long").alias("n"))
 
 
-def generate(edges: DataFrame, config: WalkConfig, vertices: DataFrame | None = None, batch: int = 0) -> DataFrame:
-    """The whole corpus as steps: walks_per_vertex walks from each id."""
-    graph = WalkGraph(edges)
+def generate(edges: DataFrame | None, config: WalkConfig, vertices: DataFrame | None = None, batch: int = 0, graph: WalkGraph | None = None) -> DataFrame:
+    """The whole corpus as steps: walks_per_vertex walks from each id. graph: the tables of edges, where they are there."""
+    graph = graph or WalkGraph(edges)
     starts = starts_of(id_domain(graph.edges) if vertices is None else vertices, config.walks_per_vertex)
     return as_steps(run_walkers(graph, initial_walkers(graph, starts, config, batch), config), config)
 
