@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwalk.llm.common import runs, staged, two_columns
+from driftwalk.llm.common import runs, staged
 
 #: Bytes of text in a shard, and characters of test items in a broadcast.
 SHARD_BYTES, BLOCK_CHARS = 8_000_000, 20_000_000
@@ -251,20 +251,21 @@ def _blocks(items: DataFrame, id_col: str, text_col: str):
         yield run
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", with_text: bool = False) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, spans, items): merged word spans and sorted item ids of each document.
 
-    with_text adds text, the document without the spans.
+    with_text adds text, the document without the spans; keep names columns of docs to be carried along.
     """
-    rows = two_columns(docs, id_col, text_col).withColumn("n_words", F.lit(0).cast("long")).withColumn("spans", F.expr("cast(array() as array<struct<start:long,end:long>>)")).withColumn("items", F.expr("cast(array() as array<long>)"))
-    schema = "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
+    plain = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep)]
+    rows = docs.select(*plain, F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<long>)").alias("items"))
+    schema = rows.schema
     blocks = _blocks(items, item_id_col, item_text_col)
     block = next(blocks, [])
     while block is not None:  # one, unless the test set is larger than a broadcast may be
         later = next(blocks, None)
         rows = rows.mapInArrow(_searcher(docs.sparkSession.sparkContext.broadcast(block), window, ("cleaned" if with_text else "none") if later is None else "whole"), schema)
         rows, block = rows if later is None else staged(rows, "decontamination-found"), later
-    return rows.select("doc_id", "n_words", "spans", "items", *(["text"] if with_text else []))
+    return rows.select("doc_id", "n_words", "spans", "items", *(["text"] if with_text else []), *(F.col(f"keep_{c}").alias(c) for c in keep))
 
 
 def without_spans(text: str | None, spans: list[dict]) -> str | None:
@@ -280,8 +281,7 @@ def without_spans(text: str | None, spans: list[dict]) -> str | None:
 
 def _searcher(held, window: int, give: str):
     """give: which text leaves the worker, whole, cleaned or none."""
-    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("spans", pa.list_(span)), ("items", pa.list_(pa.int64()))])
+    kinds = {"n_words": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "items": pa.list_(pa.int64())}
 
     def search(batches):
         phrases = Phrases(held.value, window)
@@ -293,8 +293,8 @@ def _searcher(held, window: int, give: str):
                 text = pa.nulls(run.num_rows, pa.string()) if give == "none" else run.column("text")
                 if give == "cleaned":
                     text = pa.array([without_spans(t, f[1]) for t, f in zip(text.to_pylist(), found, strict=True)], pa.string())
-                columns = [pa.array([f[k] for f in found], schema.field(k + 2).type) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([run.column("doc_id"), text, *columns], schema=schema)
+                new = {"text": text} | {name: pa.array([f[k] for f in found], kind) for k, (name, kind) in enumerate(kinds.items())}
+                yield pa.RecordBatch.from_arrays([new.get(c, run.column(c)) for c in run.schema.names], run.schema.names)
 
     return search
 
