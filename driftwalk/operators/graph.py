@@ -46,17 +46,6 @@ def adjacency(edges: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     return numbered.join(before, ["u", "_b"]).select("u", (F.col("_before") + F.col("_k")).cast("long").alias("idx"), "v", "deg")
 
 
-def transitions(edges: DataFrame) -> DataFrame:
-    """(u, idx, v, v_deg): adjacency with the degree of the neighbor.
-
-    A walker that carries the degree of its vertex can draw the index itself
-    and hop by one equi-join on (u, idx). Walkers on a hub have many indices
-    and so spread over many tasks.
-    """
-    out = degrees(edges).select(F.col("vertex").alias("v"), F.col("degree").alias("v_deg"))
-    return adjacency(edges).select("u", "idx", "v").join(out, "v", "left").select("u", "idx", "v", F.coalesce("v_deg", F.lit(0)).alias("v_deg"))
-
-
 def has_edge(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """pairs(src, dst) with a column has_edge."""
     known = edges.select("src", "dst", F.lit(True).alias("has_edge"))
