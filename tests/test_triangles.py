@@ -55,3 +55,10 @@ def test_stored_leaves_no_shuffle_files(spark, tmp_path):
     one, two = stored(made, "dropped"), cut(made)
     assert held() <= before and spark.conf.get(DROP_SHUFFLES, None) is None
     assert one.count() == two.count() == 1000
+
+
+def test_weights_of_states_need_no_row_for_each_candidate(spark):
+    from driftwalk.queries import QUERIES
+
+    plan = QUERIES["node2vec_weights"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
