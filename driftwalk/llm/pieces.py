@@ -7,6 +7,7 @@ the cut isn't proven safe is given to the library whole.
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
@@ -17,11 +18,14 @@ CACHE_BYTES = 48 << 20
 ENTRY_BYTES = 180
 #: Longer parts are encoded but not kept.
 KEPT_CHARS = 64
+#: Characters that the library encodes at once, but for a longer block: what it returns takes some 200 bytes a token.
+AT_ONCE = 100_000
 
 
 def library_tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each thread would hold memory of its own
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
@@ -75,6 +79,19 @@ def latin_word(part: str) -> bool:
     return part.isalpha() and (part.isascii() or max(part) < "\u0100")
 
 
+def encoded(tokenizer, texts: list[str]):
+    """The ids of each text, AT_ONCE characters at a time."""
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) <= AT_ONCE:
+            size += len(texts[end])
+            end += 1
+        for got in tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False):
+            yield got.ids
+        at = end
+
+
 class Generations:
     """Values of parts, bounded by bytes: what wasn't used since the last turn but one is forgotten."""
 
@@ -139,8 +156,8 @@ class PieceCoder:
         """Parts after a lead character, many in one text: the lead of each marks its first token."""
         out, width = {}, self.dtype.itemsize
         blocks = [parts[at : at + JOINED] for at in range(0, len(parts), JOINED)]
-        for block, got in zip(blocks, self.tokenizer.encode_batch_fast([lead + lead.join(b) for b in blocks], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, self.dtype)
+        for block, got in zip(blocks, encoded(self.tokenizer, [lead + lead.join(b) for b in blocks]), strict=True):
+            ids = np.array(got, self.dtype)
             starts = np.flatnonzero(starts_part[ids])
             if len(starts) != len(block):
                 out.update((p, self.whole(lead + p)) for p in block)
@@ -223,8 +240,8 @@ class PieceCounter:
         held, marks = self.cache.new, {}
         todo = [w for w in words if w not in held]
         blocks = [todo[at : at + JOINED] for at in range(0, len(todo), JOINED)]
-        for block, got in zip(blocks, self.tokenizer.encode_batch_fast([" \x7f ".join(b) + " \x7f" for b in blocks], add_special_tokens=False), strict=True):
-            ends = np.flatnonzero(np.array(got.ids) == self.sentinel[0])
+        for block, got in zip(blocks, encoded(self.tokenizer, [" \x7f ".join(b) + " \x7f" for b in blocks]), strict=True):
+            ends = np.flatnonzero(np.array(got) == self.sentinel[0])
             out.update(zip(block, (np.diff(ends, prepend=-1) - 1).tolist(), strict=True))
         for p, stem, end in cut:
             if end not in marks:

@@ -1,3 +1,4 @@
+import os
 import random
 import sys
 
@@ -42,3 +43,23 @@ def test_frequent_parts_merge_all_partitions(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
     assert token_counts.frequent_parts(docs, 2, 50) == ["often", "x"]
     assert token_counts.frequent_parts(docs.limit(0), 2, 50) == []
+
+
+def test_what_the_library_returns_is_bounded():
+    """Missing parts are encoded a bounded number of characters at a time, in their order."""
+    seen = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            seen.append(sum(map(len, texts)))
+            return [type("Got", (), {"ids": [len(t)]}) for t in texts]
+
+    texts = ["a" * n for n in (3, pieces.AT_ONCE, 5, *[pieces.AT_ONCE // 4] * 9, 1)]
+    assert [ids for ids in pieces.encoded(Counting(), texts)] == [[len(t)] for t in texts]
+    assert max(seen) <= pieces.AT_ONCE and len(seen) == 5
+
+
+def test_a_worker_encodes_in_one_thread(monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    pieces.library_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
