@@ -17,7 +17,7 @@ from driftwalk.functions.pairing import decode_step, encode_step, pair, pair_tri
 from driftwalk.functions.rng import hashed_draw, portable_draw_sql
 from driftwalk.operators import embeddings, graph, lookup, metrics, ordered, suffixes, triangles, updates, walks
 from driftwalk.plans import strategy
-from driftwalk.plans.materialise import folder, stored
+from driftwalk.plans.materialise import folder, stored, stored_edges
 from driftwalk.sources import graph_files, rmat, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,7 +110,7 @@ def _has_edge(spark, sf):
 
 @query("k_hop_frontier", f"WITH {ALL}, h0 AS (SELECT 0::BIGINT vertex), h1 AS (SELECT DISTINCT dst vertex FROM e WHERE src IN (SELECT vertex FROM h0)), h2 AS (SELECT DISTINCT dst vertex FROM e WHERE src IN (SELECT vertex FROM h1)), h3 AS (SELECT DISTINCT dst vertex FROM e WHERE src IN (SELECT vertex FROM h2)), u AS (SELECT vertex, 0 hop FROM h0 UNION ALL SELECT vertex, 1 FROM h1 UNION ALL SELECT vertex, 2 FROM h2 UNION ALL SELECT vertex, 3 FROM h3) SELECT vertex, min(hop)::INTEGER hop FROM u GROUP BY 1")
 def _k_hop(spark, sf):
-    return graph.k_hop(stored(_edges(spark, sf), "hop-edges"), spark.range(1).select(F.col("id").alias("vertex")), 3)
+    return graph.k_hop(stored_edges(_edges(spark, sf), "hop-edges"), spark.range(1).select(F.col("id").alias("vertex")), 3)
 
 
 @query("edge_map_sparse", f"WITH {ALL} SELECT DISTINCT dst vertex FROM e WHERE src < 30 AND dst % 3 = 2")
@@ -122,11 +122,11 @@ query("vertex_map_subset", f"WITH {ALL}, g AS (SELECT src vertex, count(*) degre
 query("edge_union", f"WITH {PAIRS}, {_mirror('a0', "dt < TIMESTAMP '2001-01-01'")}, {_month('b0', 1)} SELECT src, dst FROM a0 UNION SELECT src, dst FROM b0")(lambda s, d: graph.edge_union(_base(s, d), tables.month_batch(s, d, 1)))
 query("edge_difference", f"WITH {PAIRS}, {_mirror('a0', "dt < TIMESTAMP '2001-01-01'")}, {_month('b0', 1, True)} SELECT src, dst FROM a0 EXCEPT SELECT src, dst FROM b0")(lambda s, d: graph.edge_difference(_base(s, d), tables.month_batch(s, d, 1, True)))
 query("batch_runs_by_source", f"WITH {PAIRS}, {_month('b0', 2)} SELECT src, count(*) run_length, min(dst) first_dst, max(dst) last_dst FROM b0 GROUP BY 1")(lambda s, d: graph.batch_runs(tables.month_batch(s, d, 2)))
-query("neighbor_intersection_count", f"WITH {ALL} SELECT q.src, q.dst, count(y.src) common FROM e q LEFT JOIN e x ON x.src = q.src LEFT JOIN e y ON y.src = q.dst AND y.dst = x.dst GROUP BY 1, 2")(lambda s, d: triangles.edge_triangles(stored(_edges(s, d), "intersection-edges")))
+query("neighbor_intersection_count", f"WITH {ALL} SELECT q.src, q.dst, count(y.src) common FROM e q LEFT JOIN e x ON x.src = q.src LEFT JOIN e y ON y.src = q.dst AND y.dst = x.dst GROUP BY 1, 2")(lambda s, d: triangles.edge_triangles(stored_edges(_edges(s, d), "intersection-edges")))
 query("triangle_count", f"WITH {BASE} SELECT count(*) // 6 triangles FROM e x JOIN e y ON x.dst = y.src JOIN e z ON z.src = y.dst AND z.dst = x.src")(lambda s, d: graph.triangle_count(_base(s, d)))
 query("spmv", f"WITH {ALL} SELECT src vertex, sum(dst % 7 + 1)::BIGINT \"value\" FROM e GROUP BY 1")(lambda s, d: graph.spmv(_edges(s, d), walks.id_domain(_edges(s, d)).select("vertex", (F.col("vertex") % 7 + 1).alias("value"))))
 query("connected_components", f"WITH RECURSIVE {ALL}, r(vertex, component) USING KEY (vertex) AS (SELECT DISTINCT src, src FROM e UNION (SELECT e.dst, min(r.component) FROM r JOIN e ON e.src = r.vertex JOIN recurring.r k ON k.vertex = e.dst WHERE r.component < k.component GROUP BY 1)) SELECT vertex, component FROM r")(
-    lambda s, d: graph.components(e := stored(_edges(s, d), "component-edges"), e.select(F.col("src").alias("vertex")))
+    lambda s, d: graph.components(e := stored_edges(_edges(s, d), "component-edges"), e.select(F.col("src").alias("vertex")))
 )
 
 
@@ -325,7 +325,7 @@ def _weights(spark, sf):
 
     Of cur's neighbors one is prev, `common` are prev's neighbors too, the rest lead onward.
     """
-    found = triangles.edge_triangles(stored(_edges(spark, sf), "weight-edges"), with_degree=True)
+    found = triangles.edge_triangles(stored_edges(_edges(spark, sf), "weight-edges"), with_degree=True)
     back, near, far = walks.integer_weights(N2V.p, N2V.q)
     onward = F.col("degree") - 1 - F.col("common")
     return found.select(F.col("dst").alias("cur"), F.col("src").alias("prev"), F.lit(1).alias("back"), F.col("common").alias("near"), onward.alias("far"), (F.lit(back).cast("long") + near * F.col("common") + far * onward).alias("total"))
@@ -336,7 +336,7 @@ TRIALS = 8
 
 @query("mh_weight_init", f"WITH {ALL}, {_adj()}, q AS (SELECT src prev, dst cur FROM e), t AS (SELECT range k FROM range({TRIALS})), c AS (SELECT q.prev, q.cur, k, a.v, CASE WHEN a.v = q.prev THEN 4 WHEN EXISTS (SELECT 1 FROM e z WHERE z.src = q.prev AND z.dst = a.v) THEN 2 ELSE 1 END wt FROM q, t, adj a WHERE a.u = q.cur AND a.idx = {portable_draw_sql('q.prev * 1000003 + q.cur', 'k')} % a.deg) SELECT prev, cur, arg_max(v, wt * 100 - k) \"last\" FROM c GROUP BY 1, 2")
 def _weight_init(spark, sf):
-    edges = stored(_edges(spark, sf), "chain-edges")
+    edges = stored_edges(_edges(spark, sf), "chain-edges")
     return _chain_starts(edges, edges)
 
 
@@ -357,7 +357,7 @@ def _chain_starts(edges, asked):
 @query("previously_sampled_vertex", f"WITH RECURSIVE {BASE}, {_w0()}, q AS (SELECT src prev, dst cur FROM e), t AS (SELECT range k FROM range({TRIALS})), c AS (SELECT q.prev, q.cur, k, a.v, CASE WHEN a.v = q.prev THEN 4 WHEN z.src IS NOT NULL THEN 2 ELSE 1 END wt FROM q, t JOIN adj a ON a.u = q.cur AND a.idx = {portable_draw_sql('q.prev * 1000003 + q.cur', 'k')} % a.deg LEFT JOIN e z ON z.src = q.prev AND z.dst = a.v), sm AS (SELECT prev, cur, arg_max(v, wt * 100 - k) \"last\" FROM c GROUP BY 1, 2) SELECT walk_id, pos::INTEGER pos, w.vertex prev, w.\"next\" cur, \"last\" FROM w LEFT JOIN sm ON sm.prev = w.vertex AND sm.cur = w.\"next\"")
 def _previously(spark, sf):
     """Walkers meet the samplers of their states: what each chain has last drawn; null where the walk has ended."""
-    edges = stored(_base(spark, sf), "sampler-edges")
+    edges = stored_edges(_base(spark, sf), "sampler-edges")
     return walks.previously_sampled(walks.generate(edges, DEEP).select("walk_id", "pos", F.col("vertex").alias("prev"), F.col("next").alias("cur")), _chain_starts(edges, edges))
 
 
@@ -425,7 +425,7 @@ query("check_edges", f"WITH {PAIRS} SELECT 'missing end' \"check\", count(*) FIL
 
 @query("adjacency_text_roundtrip", f"WITH {ALL} SELECT src, dst FROM e")
 def _text_roundtrip(spark, sf):
-    edges, at = stored(_edges(spark, sf), "text-edges"), folder(spark, "adjacency")
+    edges, at = stored_edges(_edges(spark, sf), "text-edges"), folder(spark, "adjacency")
     graph_files.write_adjacency_text(edges, edges.agg(F.max("src")).first()[0] + 1, at)
     return graph_files.load_graph(spark, at, "adjacency_text")
 
@@ -433,7 +433,7 @@ def _text_roundtrip(spark, sf):
 @query("byte_graph_roundtrip", f"WITH {ALL} SELECT src, dst FROM e")
 def _bytes_roundtrip(spark, sf):
     at = folder(spark, "byte-graph")
-    graph_files.write_byte_files(stored(_edges(spark, sf), "byte-edges"), at)
+    graph_files.write_byte_files(stored_edges(_edges(spark, sf), "byte-edges"), at)
     return graph_files.load_graph(spark, at, "bytes")
 
 
