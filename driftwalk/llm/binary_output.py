@@ -21,7 +21,7 @@ from driftwalk.llm.common import runs, shuffle_partitions, two_columns
 FRAME_SCHEMA = "shard int, frame_start long, n_ids long, doc_ids array<long>, lengths array<int>, payload binary"
 DOC_SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, ids_crc32 long"
 #: Bytes of text whose ids make a frame: what a worker holds at once, but for a longer text.
-FRAME_BYTES = 4_000_000
+FRAME_BYTES = 2_000_000
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
