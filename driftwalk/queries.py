@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from driftwalk.config import WalkConfig
 from driftwalk.functions.pairing import decode_step, encode_step, pair, pair_triplet, unpair, unpair_triplet
 from driftwalk.functions.rng import hashed_draw, portable_draw_sql
-from driftwalk.operators import embeddings, graph, lookup, metrics, ordered, suffixes, triangles, updates, walks
+from driftwalk.operators import chains, embeddings, graph, lookup, metrics, ordered, suffixes, triangles, updates, walks
 from driftwalk.plans import strategy
 from driftwalk.plans.materialise import folder, stored, stored_edges
 from driftwalk.sources import graph_files, rmat, tables
@@ -337,28 +337,15 @@ TRIALS = 8
 @query("mh_weight_init", f"WITH {ALL}, {_adj()}, q AS (SELECT src prev, dst cur FROM e), t AS (SELECT range k FROM range({TRIALS})), c AS (SELECT q.prev, q.cur, k, a.v, CASE WHEN a.v = q.prev THEN 4 WHEN EXISTS (SELECT 1 FROM e z WHERE z.src = q.prev AND z.dst = a.v) THEN 2 ELSE 1 END wt FROM q, t, adj a WHERE a.u = q.cur AND a.idx = {portable_draw_sql('q.prev * 1000003 + q.cur', 'k')} % a.deg) SELECT prev, cur, arg_max(v, wt * 100 - k) \"last\" FROM c GROUP BY 1, 2")
 def _weight_init(spark, sf):
     edges = stored_edges(_edges(spark, sf), "chain-edges")
-    return _chain_starts(edges, edges)
-
-
-def _chain_starts(edges, asked):
-    """The first of TRIALS proposals with the largest weight starts each chain."""
-    from driftwalk.functions.rng import portable_draw
-
-    states = asked.select(F.col("src").alias("prev"), F.col("dst").alias("cur"))
-    deg = graph.degrees(edges).select(F.col("vertex").alias("cur"), "degree")
-    tried = states.join(deg, "cur").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(TRIALS - 1))))
-    tried = tried.withColumn("idx", portable_draw(F.col("prev") * 1000003 + F.col("cur"), F.col("k")) % F.col("degree"))
-    options = tried.join(graph.adjacency(edges).select(F.col("u").alias("cur"), "idx", F.col("v").alias("cand")), ["cur", "idx"])
-    known = edges.select(F.col("src").alias("prev"), F.col("dst").alias("cand"), F.lit(True).alias("linked"))
-    weighed = options.join(known, ["prev", "cand"], "left").withColumn("wt", walks.second_order_weight(F.col("prev"), F.col("cand"), F.coalesce("linked", F.lit(False)), N2V))
-    return weighed.groupBy("prev", "cur").agg(F.max_by("cand", F.col("wt") * 100 - F.col("k")).alias("last"))
+    return chains.chain_starts(edges, walks.integer_weights(N2V.p, N2V.q), TRIALS)
 
 
 @query("previously_sampled_vertex", f"WITH RECURSIVE {BASE}, {_w0()}, q AS (SELECT src prev, dst cur FROM e), t AS (SELECT range k FROM range({TRIALS})), c AS (SELECT q.prev, q.cur, k, a.v, CASE WHEN a.v = q.prev THEN 4 WHEN z.src IS NOT NULL THEN 2 ELSE 1 END wt FROM q, t JOIN adj a ON a.u = q.cur AND a.idx = {portable_draw_sql('q.prev * 1000003 + q.cur', 'k')} % a.deg LEFT JOIN e z ON z.src = q.prev AND z.dst = a.v), sm AS (SELECT prev, cur, arg_max(v, wt * 100 - k) \"last\" FROM c GROUP BY 1, 2) SELECT walk_id, pos::INTEGER pos, w.vertex prev, w.\"next\" cur, \"last\" FROM w LEFT JOIN sm ON sm.prev = w.vertex AND sm.cur = w.\"next\"")
 def _previously(spark, sf):
     """Walkers meet the samplers of their states: what each chain has last drawn; null where the walk has ended."""
     edges = stored_edges(_base(spark, sf), "sampler-edges")
-    return walks.previously_sampled(walks.generate(edges, DEEP).select("walk_id", "pos", F.col("vertex").alias("prev"), F.col("next").alias("cur")), _chain_starts(edges, edges))
+    samplers = chains.chain_starts(edges, walks.integer_weights(N2V.p, N2V.q), TRIALS)
+    return walks.previously_sampled(walks.generate(edges, DEEP).select("walk_id", "pos", F.col("vertex").alias("prev"), F.col("next").alias("cur")), samplers)
 
 
 # ---------------------------------------------------------------- ordered maps and sequences
