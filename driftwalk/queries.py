@@ -343,9 +343,11 @@ def _weight_init(spark, sf):
 @query("previously_sampled_vertex", f"WITH RECURSIVE {BASE}, {_w0()}, q AS (SELECT src prev, dst cur FROM e), t AS (SELECT range k FROM range({TRIALS})), c AS (SELECT q.prev, q.cur, k, a.v, CASE WHEN a.v = q.prev THEN 4 WHEN z.src IS NOT NULL THEN 2 ELSE 1 END wt FROM q, t JOIN adj a ON a.u = q.cur AND a.idx = {portable_draw_sql('q.prev * 1000003 + q.cur', 'k')} % a.deg LEFT JOIN e z ON z.src = q.prev AND z.dst = a.v), sm AS (SELECT prev, cur, arg_max(v, wt * 100 - k) \"last\" FROM c GROUP BY 1, 2) SELECT walk_id, pos::INTEGER pos, w.vertex prev, w.\"next\" cur, \"last\" FROM w LEFT JOIN sm ON sm.prev = w.vertex AND sm.cur = w.\"next\"")
 def _previously(spark, sf):
     """Walkers meet the samplers of their states: what each chain has last drawn; null where the walk has ended."""
-    edges = stored_edges(_base(spark, sf), "sampler-edges")
-    samplers = chains.chain_starts(edges, walks.integer_weights(N2V.p, N2V.q), TRIALS)
-    return walks.previously_sampled(walks.generate(edges, DEEP).select("walk_id", "pos", F.col("vertex").alias("prev"), F.col("next").alias("cur")), samplers)
+    table = walks.WalkGraph(_base(spark, sf))
+    steps = stored(walks.generate(None, DEEP, graph=table).select("walk_id", "pos", F.col("vertex").alias("prev"), F.col("next").alias("cur")), "sampler-steps", packed=True)
+    # A step to the vertex itself ends a walk; the others are states, and only theirs are asked for.
+    asked = stored(steps.where("prev <> cur").select("prev", "cur").distinct(), "sampler-states", packed=True)
+    return walks.previously_sampled(steps, chains.chain_starts(table.edges, walks.integer_weights(N2V.p, N2V.q), TRIALS, asked))
 
 
 # ---------------------------------------------------------------- ordered maps and sequences

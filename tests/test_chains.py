@@ -23,8 +23,9 @@ def test_no_edges(spark):
     assert chains.chain_starts(spark.createDataFrame([], "src long, dst long"), (4, 2, 1), 8).count() == 0
 
 
-def test_no_row_for_each_proposal(spark):
+@pytest.mark.parametrize("name, most", [("mh_weight_init", 0), ("previously_sampled_vertex", 1)])
+def test_no_row_for_each_proposal(spark, name, most):
     from driftwalk.queries import QUERIES
 
-    plan = QUERIES["mh_weight_init"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan and "Generate" not in plan
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == most and "Generate" not in plan
