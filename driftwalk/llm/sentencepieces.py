@@ -16,7 +16,7 @@ without replacement. The key after the k-th gives the inclusion scores,
 number and the position: batches and retries don't change them.
 
 Pieces hold blanks at their start alone (checked), so the lattice falls into
-chunks, blanks and what follows; equal chunks of a run share their tables.
+chunks, blanks and what follows; equal chunks of a window share their tables.
 Sums and walks go through all short chunks of a run together, and through a
 chunk of more than LONG characters (scripts without blanks, encoded data) place
 by place, in blocks: time and memory are linear in the longest text.
@@ -42,8 +42,8 @@ from driftwalk.llm.common import runs, two_columns
 
 BLANK = "▁"
 _CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
-#: Bytes of text whose lattice a worker holds at once, but for a longer text.
-RUN_BYTES = 100_000
+#: Bytes of text whose lattice a worker holds at once, and of those it samples together, but for a longer text.
+WINDOW_BYTES, RUN_BYTES = 1_000_000, 100_000
 #: Characters of a chunk that is gone through place by place, and of a block of it.
 LONG, BLOCK = 400, 1 << 15
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # mixing factors
@@ -97,7 +97,7 @@ class Model:
         import sentencepiece
 
         self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = self.processor.get_piece_size()
+        n, self.unknown = self.processor.get_piece_size(), self.processor.unk_id()
         pieces = [self.processor.id_to_piece(i) for i in range(n)]
         special = [self.processor.is_control(i) or self.processor.is_unknown(i) or self.processor.is_unused(i) for i in range(n)]
         byte = [self.processor.is_byte(i) for i in range(n)]
@@ -162,7 +162,7 @@ class Model:
         return self.processor.normalize(text)
 
     def fallback(self, code: int) -> list[int]:
-        return [self.bytes.get(b, self.processor.unk_id()) for b in chr(code).encode("utf-8", "surrogatepass")]
+        return [self.bytes.get(b, self.unknown) for b in chr(code).encode("utf-8", "surrogatepass")]
 
 
 class Lattice:
@@ -172,7 +172,7 @@ class Lattice:
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         ends = np.cumsum(size)
-        self.base, n = ends - size, len(codes)
+        self.base, self.size, n = ends - size, size, len(codes)
         left = np.repeat(ends, size) - np.arange(n)  # characters from here to the chunk's end
         found, counts = [], np.zeros(n, np.int64)
         at, key = np.arange(n), np.zeros(n, np.uint64)
@@ -287,14 +287,22 @@ def _numbered(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndar
     return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), np.array([len(x) for x in lists], np.int64)
 
 
+def shared_lattice(model: Model, texts: list[str | None], runs_of: list[int]):
+    """(lattice of all texts, number of each chunk, chunks of each text) for each run of the texts; runs_of: texts of each run."""
+    chunks, index, per = _numbered(model, texts)
+    lattice, upto, at = Lattice(model, chunks), np.append(0, np.cumsum(per)), 0
+    for n in runs_of:
+        yield lattice, index[upto[at] : upto[at + n]], per[at : at + n]
+        at += n
+
+
 class Sampler:
-    """Segmentations of a run of texts."""
+    """Segmentations of a run of texts. shared: what shared_lattice() gives for them."""
 
-    def __init__(self, model: Model, texts: list[str | None], keys: np.ndarray):
+    def __init__(self, model: Model, texts: list[str | None], keys: np.ndarray, shared: tuple[Lattice, np.ndarray, np.ndarray] | None = None):
         self.model, self.n = model, len(texts)
-        chunks, index, per = _numbered(model, texts)
-        self.lattice = Lattice(model, chunks)
-        size = np.fromiter(map(len, chunks), np.int64, len(chunks))[index]
+        self.lattice, index, per = shared or next(shared_lattice(model, texts, [len(texts)]))
+        size = self.lattice.size[index]
         self.occ_end = np.cumsum(size)
         self.occ_start = self.occ_end - size
         total = int(size.sum())
@@ -491,10 +499,10 @@ def decoded_texts(model: Model, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(ends), pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(cut))
 
 
-def sample_batches(model: Model, ids: list[int | None], texts: list[str | None], k: int, seed: int, with_text: bool = True):
-    """Arrow batches of SAMPLES for a run of texts, one a round."""
+def sample_batches(model: Model, ids: list[int | None], texts: list[str | None], k: int, seed: int, with_text: bool = True, shared: tuple | None = None):
+    """Arrow batches of SAMPLES for a run of texts, one a round. shared: as in Sampler."""
     keys = np.array([-1 if i is None else i for i in ids], np.int64) ^ np.int64(seed << 32)
-    sampler = Sampler(model, texts, keys)
+    sampler = Sampler(model, texts, keys, shared)
     *rounds, (after,) = sampler.run(k)
     expected = pa.array([(t or "").replace(BLANK, " ") for t in texts], pa.string())
     for number, (edges, key, log_p, alive) in enumerate(rounds, 1):
@@ -531,8 +539,11 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, seed: int
     def encode(batches):
         model = worker_model(model_path)
         for batch in batches:
-            for run in runs(batch, "text", RUN_BYTES):
-                yield from sample_batches(model, run.column("doc_id").to_pylist(), run.column("text").to_pylist(), k, seed, with_text)
+            for window in runs(batch, "text", WINDOW_BYTES):
+                parts = list(runs(window, "text", RUN_BYTES))
+                lattices = shared_lattice(model, window.column("text").to_pylist(), [run.num_rows for run in parts])
+                for run, shared in zip(parts, lattices, strict=True):
+                    yield from sample_batches(model, run.column("doc_id").to_pylist(), run.column("text").to_pylist(), k, seed, with_text, shared)
 
     found = two_columns(docs, id_col, text_col).mapInArrow(encode, SAMPLES_SQL)
     return found if with_text else found.drop("text")
