@@ -16,7 +16,8 @@ without replacement. The key after the k-th gives the inclusion scores,
 number and the position: batches and retries don't change them.
 
 Pieces hold blanks at their start alone (checked), so the lattice falls into
-chunks, blanks and what follows; equal chunks of a window share their tables.
+chunks, blanks and what follows; equal chunks of a window share their tables,
+and those that a window repeats are kept for later ones, KEPT characters at most.
 Sums and walks go through all short chunks of a run together, and through a
 chunk of more than LONG characters (scripts without blanks, encoded data) place
 by place, in blocks: time and memory are linear in the longest text.
@@ -29,6 +30,7 @@ its place. An empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
@@ -43,11 +45,14 @@ from driftwalk.llm.common import runs, two_columns
 BLANK = "▁"
 _CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 #: Bytes of text whose lattice a worker holds at once, and of those it samples together, but for a longer text.
-WINDOW_BYTES, RUN_BYTES = 1_000_000, 100_000
+WINDOW_BYTES, RUN_BYTES = 300_000, 100_000
+#: Characters of chunks that a worker keeps from window to window.
+KEPT = 150_000
 #: Characters of a chunk that is gone through place by place, and of a block of it.
 LONG, BLOCK = 400, 1 << 15
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # mixing factors
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+_WORD = (1 << 64) - 1
 
 
 def _hash(x: np.ndarray) -> np.ndarray:
@@ -66,8 +71,18 @@ def stream(key: np.ndarray, sample: int, purpose: int) -> np.ndarray:
 
 def drawn(of: np.ndarray, position: np.ndarray) -> np.ndarray:
     """In (0, 1), by stream and position."""
-    x = _hash(of ^ (position.astype(np.uint64) * _MIX[0]))
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+    return _unit(of ^ mixed(position))
+
+
+def mixed(position: np.ndarray) -> np.ndarray:
+    return position.astype(np.uint64) * _MIX[0]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    out = (_hash(x) >> np.uint64(11)).astype(np.float64)
+    out += 0.5
+    out *= 1.0 / (1 << 53)
+    return out
 
 
 def uniform(key: np.ndarray, sample: int, position: np.ndarray, purpose: int) -> np.ndarray:
@@ -75,6 +90,19 @@ def uniform(key: np.ndarray, sample: int, position: np.ndarray, purpose: int) ->
     return drawn(stream(key, sample, purpose), position)
 
 
+def _whole_hash(x: int) -> int:
+    """_hash of one number."""
+    x = (x ^ (x >> 31)) * int(_MIX[0]) & _WORD
+    x = (x ^ (x >> 29)) * int(_MIX[1]) & _WORD
+    return x ^ (x >> 32)
+
+
+def uniform_one(key: int, sample: int, position: int, purpose: int) -> float:
+    """uniform() of single numbers."""
+    of = _whole_hash(key + (sample * 8 + purpose + 1) * int(_STEP) & _WORD)
+    return ((_whole_hash(of ^ (position * int(_MIX[0]) & _WORD)) >> 11) + 0.5) / float(1 << 53)
+
+
 def gumbel(u: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(u))
 
@@ -165,6 +193,9 @@ class Model:
         return [self.bytes.get(b, self.unknown) for b in chr(code).encode("utf-8", "surrogatepass")]
 
 
+PLACE_TABLES, EDGE_TABLES = ("total", "first", "last"), ("length", "piece", "value", "upto")
+
+
 class Lattice:
     """Edges of distinct chunks, by start: piece, length, probability and its running sum."""
 
@@ -184,13 +215,13 @@ class Lattice:
                 break
             if length == 1:
                 piece = model.single[codes]
-                found.append((at, np.where(piece < 0, model.size + codes, piece)))
+                found.append((at.astype(np.int32), np.where(piece < 0, model.size + codes, piece).astype(np.int32)))
                 key = model._extend(key, codes.astype(np.uint64))
             else:
                 key = model._extend(key, codes[at + length - 1].astype(np.uint64))
                 piece = model.lookup(key)
                 hit = piece >= 0
-                found.append((at[hit], piece[hit]))
+                found.append((at[hit].astype(np.int32), piece[hit].astype(np.int32)))
             counts[found[-1][0]] += 1  # a place has one edge of a length at most
             alive = piece > -2
             at, key = at[alive], key[alive]
@@ -205,10 +236,12 @@ class Lattice:
         self.first[order] = heads[:-1]
         self.last = self.first + counts - 1
         edges, used = int(heads[-1]), self.first.copy()
-        self.length, self.piece = np.zeros(edges, np.int64), np.zeros(edges, np.int64)
+        self.length, self.piece = np.zeros(edges, np.int64), np.zeros(edges, np.int32)
         for length, (where, piece) in enumerate(found, 1):
-            self.length[used[where]], self.piece[used[where]] = length, piece
+            slots = used[where]
+            self.length[slots], self.piece[slots] = length, piece
             used[where] += 1
+        found.clear()
         if (self.piece < model.size).all():
             weight = model.weights[self.piece]
         else:
@@ -234,9 +267,28 @@ class Lattice:
                 total[nodes] = top + np.log(whole)
         for k in np.flatnonzero(~short).tolist():
             self._long_sums(int(self.base[k]), int(ends[k]), weight, total, share, model.longest)
-        self.total = total
+        self.total = total[:n]
         run = np.cumsum(_multiples(share, 32))
         self.upto = run - np.repeat(np.append(0, run)[heads[:-1]], sorted_counts)
+        self.upto[self.last] = np.inf
+
+    @classmethod
+    def of(cls, tables: dict[str, np.ndarray], base: np.ndarray, size: np.ndarray) -> Lattice:
+        """A lattice whose chunks stand in tables that are there."""
+        self = cls.__new__(cls)
+        vars(self).update(tables, base=base, size=size)
+        return self
+
+    def part(self, chunks: np.ndarray) -> Lattice:
+        """The lattice of some chunks, by number."""
+        size = self.size[chunks]
+        ends = np.cumsum(size)
+        places = np.arange(int(ends[-1])) + np.repeat(self.base[chunks] - (ends - size), size)
+        many = self.last[places] - self.first[places] + 1
+        last = np.cumsum(many)
+        edges = np.arange(int(last[-1])) + np.repeat(self.first[places] - (last - many), many)
+        tables = {name: getattr(self, name)[edges] for name in EDGE_TABLES}
+        return Lattice.of({**tables, "total": self.total[places], "first": last - many, "last": last - 1}, ends - size, size)
 
     def log_p(self, edge: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Log-probabilities of edges that leave the places `row`."""
@@ -266,11 +318,14 @@ class Lattice:
 
     def choose(self, row: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each start, by running sums."""
-        edge, last = self.first[row], self.last[row]
-        todo = np.flatnonzero((u > self.upto[edge]) & (edge < last))
+        edge = self.first[row]
+        todo = np.flatnonzero(u > self.upto[edge])
+        at, u = edge[todo], u[todo]
         while len(todo):
-            edge[todo] += 1
-            todo = todo[(u[todo] > self.upto[edge[todo]]) & (edge[todo] < last[todo])]
+            at += 1
+            more = u > self.upto[at]
+            edge[todo] = at
+            todo, at, u = todo[more], at[more], u[more]
         return edge
 
 
@@ -287,10 +342,63 @@ def _numbered(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndar
     return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), np.array([len(x) for x in lists], np.int64)
 
 
-def shared_lattice(model: Model, texts: list[str | None], runs_of: list[int]):
+class Kept:
+    """Tables of chunks that windows have repeated, one after the other; those of a window's new chunks stand behind them.
+
+    The next window's overwrite the latter, so a lattice holds until the next is asked for.
+    """
+
+    def __init__(self, model: Model, most: int = KEPT):
+        self.model, self.most = model, most
+        self.tables: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.base: dict[str, int] = {}
+        self.places = self.edges = 0
+
+    def _put(self, lattice: Lattice) -> None:
+        """Writes a lattice's tables behind what is kept."""
+        for names, at in ((PLACE_TABLES, self.places), (EDGE_TABLES, self.edges)):
+            for name in names:
+                new, old = getattr(lattice, name), self.tables.get(name)
+                if old is None or len(old) < at + len(new):
+                    self.tables[name] = np.empty((at + len(new)) * 5 // 4, new.dtype)
+                    if at:
+                        self.tables[name][:at] = old[:at]
+                self.tables[name][at : at + len(new)] = new
+        for name in ("first", "last"):
+            self.tables[name][self.places : self.places + len(lattice.total)] += self.edges
+
+    def lattice(self, chunks: list[str], counts: np.ndarray) -> Lattice:
+        """The lattice of a window's distinct chunks, which stand in it so often."""
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        if int(size.sum()) > self.most:
+            return Lattice(self.model, chunks)
+        base = np.fromiter(map(self.base.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        often = (counts > 1) & (size <= LONG)
+        if self.places + int(size[often & (base < 0)].sum()) > self.most:
+            self._forget()
+            base[:] = -1
+        new = np.flatnonzero(base < 0)
+        if len(new):
+            made = Lattice(self.model, [chunks[k] for k in new.tolist()])
+            stay = np.flatnonzero(often[new])
+            if len(stay):
+                part = made.part(stay)
+                self._put(part)
+                self.base.update(zip([chunks[k] for k in new[stay].tolist()], (part.base + self.places).tolist(), strict=True))
+                self.places, self.edges = self.places + len(part.total), self.edges + len(part.piece)
+            self._put(made)
+            base[new] = made.base + self.places
+        return Lattice.of(self.tables, base, size)
+
+
+def shared_lattice(model: Model, texts: list[str | None], runs_of: list[int], kept: Kept | None = None):
     """(lattice of all texts, number of each chunk, chunks of each text) for each run of the texts; runs_of: texts of each run."""
     chunks, index, per = _numbered(model, texts)
-    lattice, upto, at = Lattice(model, chunks), np.append(0, np.cumsum(per)), 0
+    lattice = kept.lattice(chunks, np.bincount(index, minlength=len(chunks))) if kept and chunks else Lattice(model, chunks)
+    upto, at = np.append(0, np.cumsum(per)), 0
     for n in runs_of:
         yield lattice, index[upto[at] : upto[at + n]], per[at : at + n]
         at += n
@@ -314,11 +422,9 @@ class Sampler:
         self.row = np.arange(total) + np.repeat(self.lattice.base[index] - self.occ_start, size)
         self.doc = np.repeat(np.arange(self.n), self.doc_end - self.doc_start)
         self.end = np.repeat(self.occ_end, size)
+        self.mixed = mixed(np.arange(total) - self.doc_start[self.doc])
         self.keys = _hash(keys.astype(np.int64).view(np.uint64) * _STEP + np.uint64(1))
 
-    def _place(self, at: np.ndarray) -> np.ndarray:
-        return at - self.doc_start[self.doc[at]]
-
     def _walk(self, at: np.ndarray, sample: int, edges: np.ndarray) -> None:
         """Samples edges from each start on, to the end of its chunk."""
         of = stream(self.keys, sample, 0)
@@ -328,8 +434,7 @@ class Sampler:
                 self._long_walk(start, of, edges)
             at = at[~far]
         while len(at):
-            doc = self.doc[at]
-            edge = self.lattice.choose(self.row[at], drawn(of[doc], at - self.doc_start[doc]))
+            edge = self.lattice.choose(self.row[at], _unit(of[self.doc[at]] ^ self.mixed[at]))
             edges[at] = edge
             after = at + self.lattice.length[edge]
             at = after[after < self.end[at]]
@@ -347,16 +452,19 @@ class Sampler:
                 at = ahead[at - low]
             edges[path] = edge[np.array(path) - low]
 
-    def _draws_of_rest(self, edge: np.ndarray, before: np.ndarray, at: np.ndarray, sample: int) -> np.ndarray:
-        """Perturbed log-probability of what else leaves each start, not yet truncated by its path's key.
+    def _draws_of_rest(self, log_p: np.ndarray, before: np.ndarray, at: np.ndarray, sample: int) -> np.ndarray:
+        """Perturbed log-probability of what else leaves each start than an edge of log_p, not yet truncated by its path's key.
 
         Truncation by one bound keeps the order, so it can wait for the largest.
         """
-        lattice, row, doc = self.lattice, self.row[at], self.doc[at]
-        p = np.exp(lattice.log_p(edge, row))
+        lattice, row = self.lattice, self.row[at]
+        out = np.full(len(at), -np.inf)
+        some = np.flatnonzero(lattice.first[row] != lattice.last[row])
+        at = at[some]
         with np.errstate(divide="ignore"):
-            location = np.where(lattice.first[row] == lattice.last[row], -np.inf, before + np.log(np.maximum(1 - p, 0)))
-        return location + gumbel(drawn(stream(self.keys, sample, 1)[doc], at - self.doc_start[doc]))
+            location = before[some] + np.log(np.maximum(1 - np.exp(log_p[some]), 0))
+        out[some] = location + gumbel(_unit(stream(self.keys, sample, 1)[self.doc[at]] ^ self.mixed[at]))
+        return out
 
     def run(self, k: int):
         """k rounds: (number, edges by position, key, log-probability, alive), and at last the next key."""
@@ -396,16 +504,17 @@ class Sampler:
                 later = self.occ_start[alive[self.occ_doc] & (self.occ_start > branch[self.occ_doc])]
                 self._walk(np.concatenate([inside, later]), number, edges)
             at = np.flatnonzero(edges >= 0)
-            run = np.append(0, np.cumsum(lattice.log_p(edges[at], self.row[at])))
+            log_p = lattice.log_p(edges[at], self.row[at])
+            run = np.append(0, np.cumsum(log_p))
             cuts = np.searchsorted(at, np.append(self.doc_start, len(self.row)))
             head = run[cuts[:-1]]
             rounds.append((edges, bound.copy(), run[np.searchsorted(at, self.doc_end)] - head, alive.copy()))
             before = run[:-1] - head[self.doc[at]]
             if number:
                 later = at > branch[self.doc[at]]
-                at, before = at[later], before[later]
+                at, before, log_p = at[later], before[later], log_p[later]
                 cuts = np.searchsorted(at, np.append(self.doc_start, len(self.row)))
-            draws = self._draws_of_rest(edges[at], before, at, number)
+            draws = self._draws_of_rest(log_p, before, at, number)
             open_.append({"at": at, "draws": draws, "before": before, "edges": edges, "cuts": cuts, "bound": bound, "taken": {}})
         return rounds
 
@@ -428,9 +537,8 @@ class Sampler:
         taken = x["taken"].setdefault(slot, [int(x["edges"][t])])
         left = [e for e in range(first, last + 1) if e not in taken]
         log_p = lattice.log_p(np.array(left), np.array([row])).tolist()
-        p, here, place = list(map(math.exp, log_p)), np.array([t]), np.array([t - int(self.doc_start[d])])
-        key = self.keys[self.doc[here]]
-        target, k = float(uniform(key, number, place, 3)[0]) * sum(p), 0
+        p, place, key = list(map(math.exp, log_p)), t - int(self.doc_start[d]), int(self.keys[d])
+        target, k = uniform_one(key, number, place, 3) * sum(p), 0
         while k < len(p) - 1 and target > p[k]:
             target, k = target - p[k], k + 1
         pick = left[k]
@@ -438,7 +546,7 @@ class Sampler:
         rest = log_p[:k] + log_p[k + 1 :]
         top = max(rest, default=-math.inf)
         location = float(x["before"][slot]) + top + math.log(sum(math.exp(v - top) for v in rest)) if rest else -math.inf
-        left_key = float(truncated(np.array([location]), np.array([bound]), uniform(key, number, place, 4))[0])
+        left_key = float(truncated(np.array([location]), np.array([bound]), np.array([uniform_one(key, number, place, 4)]))[0])
         # Stored so that truncation by the path's own key gives it back.
         own = float(x["bound"][d])
         x["draws"][slot] = left_key - np.log(-np.expm1(min(left_key - own, -1e-300))) if np.isfinite(left_key) else -np.inf
@@ -450,13 +558,16 @@ class Sampler:
         piece, doc = self.lattice.piece[edges[at]], self.doc[at]
         if len(piece) and piece.max() >= self.model.size:
             whole = np.flatnonzero(piece >= self.model.size)
-            spelled = [self.model.fallback(int(c) - self.model.size) for c in piece[whole]]
+            codes, which = np.unique(piece[whole] - self.model.size, return_inverse=True)
+            spelled = [self.model.fallback(c) for c in codes.tolist()]
+            sizes = np.array([len(x) for x in spelled], np.int64)
             extra = np.ones(len(piece), np.int64)
-            extra[whole] = [len(x) for x in spelled]
+            extra[whole] = sizes[which]
             place = np.cumsum(extra) - extra
-            out = np.repeat(piece, extra)
-            for k, x in zip(place[whole], spelled, strict=True):
-                out[k : k + len(x)] = x
+            out, pool, at = np.repeat(piece, extra), np.array([i for x in spelled for i in x], np.int32), np.cumsum(sizes) - sizes
+            for k in range(int(sizes.max())):
+                some = np.flatnonzero(sizes[which] > k)
+                out[place[whole[some]] + k] = pool[at[which[some]] + k]
             piece, doc = out, np.repeat(doc, extra)
         return piece.astype(np.uint32), np.bincount(doc, minlength=self.n)
 
@@ -531,19 +642,24 @@ def sample_rows(model: Model, ids: list[int | None], texts: list[str | None], k:
     return [(*row[:3], row[3] if with_ids else None, *row[4:9]) for batch in batches for row in map(tuple, map(dict.values, batch.to_pylist()))]
 
 
+def sampled(model: Model, batches, k: int, seed: int, with_text: bool):
+    """Arrow batches of SAMPLES for batches(doc_id, text)."""
+    kept = Kept(model)
+    for batch in batches:
+        for window in runs(batch, "text", WINDOW_BYTES):
+            parts = list(runs(window, "text", RUN_BYTES))
+            lattices = shared_lattice(model, window.column("text").to_pylist(), [run.num_rows for run in parts], kept)
+            for run, shared in zip(parts, lattices, strict=True):
+                yield from sample_batches(model, run.column("doc_id").to_pylist(), run.column("text").to_pylist(), k, seed, with_text, shared)
+
+
 def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, seed: int = 7, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sample, n_pieces, ids, ids_crc32, log_prob, key, inclusion, decodes), k rows a document at most.
 
     decodes: whether the ids decode to the text; with_text adds what they decode to.
     """
     def encode(batches):
-        model = worker_model(model_path)
-        for batch in batches:
-            for window in runs(batch, "text", WINDOW_BYTES):
-                parts = list(runs(window, "text", RUN_BYTES))
-                lattices = shared_lattice(model, window.column("text").to_pylist(), [run.num_rows for run in parts])
-                for run, shared in zip(parts, lattices, strict=True):
-                    yield from sample_batches(model, run.column("doc_id").to_pylist(), run.column("text").to_pylist(), k, seed, with_text, shared)
+        yield from sampled(worker_model(model_path), batches, k, seed, with_text)
 
     found = two_columns(docs, id_col, text_col).mapInArrow(encode, SAMPLES_SQL)
     return found if with_text else found.drop("text")
